@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, quality, url_filter
+from . import bpe, line_dedup, minhash, packing, quality, url_filter
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
@@ -75,6 +79,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_minhash": op4_minhash,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
