@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, minhash, packing, quality, url_filter
+from . import ann_forest, bpe, html_extract, line_dedup, minhash, packing, quality, search_wand, token_counts, url_filter
 from .common import table
 
 
@@ -34,6 +34,13 @@ FROM j GROUP BY doc_id
 """
 
 
+def op2_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, with its whole text, against all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where(F.pmod("doc_id", F.lit(20)) == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search_wand.search(docs, queries, k=10)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -44,6 +51,15 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_pretokens", "n_tokens")
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
@@ -76,12 +92,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_wand_search": op2_wand_search,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_minhash": op4_minhash,
+    "op5_token_counts": op5_token_counts,
+    "op6_html_extract": op6_html_extract,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
+    "op10_ann_forest": op10_ann_forest,
 }
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op8_url_filter": OP8_SQL}
