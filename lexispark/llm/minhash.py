@@ -29,7 +29,7 @@ from .common import cut, join_by_counts
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 #: Members of a bucket that are compared with all others in one later round.
-LEADERS = 8
+LEADERS = 64
 #: Over how many tasks the pairs of one document can be spread.
 SALTS = 64
 #: Most ids that are broadcast; more are joined by shuffle.
