@@ -18,6 +18,8 @@ class Index:
     stats: DataFrame
     has_positions: bool
     path: str | None = None
+    #: Documents and tokens, where the tables are plans that were just made.
+    counted: tuple[int, int, float] | None = None
 
     @staticmethod
     def columns(table: str, positions: bool) -> list[str]:
@@ -65,9 +67,19 @@ def build_index(docs: DataFrame, positions: bool = False) -> Index:
     occurrences = tokens.select("doc", "dl", F.posexplode("tokens").alias("pos", "term"))
     found = [F.count("*").alias("tf")] + [F.sort_array(F.collect_list("pos")).alias("positions")] * positions
     postings = with_norms(occurrences.groupBy("term", "doc", "dl").agg(*found), lit_average).drop("dl", "dlq")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("norm").alias("min_norm")).withColumn("idf", idf(F.lit(n_docs), F.col("df")))
-    stats = terms.agg(F.count("*").alias("n_terms")).select(F.lit(n_docs).cast("long").alias("n_docs"), "n_terms", F.lit(total).cast("long").alias("total_tokens"), lit_average.alias("avgdl"))
-    return Index(lengths, postings.select(*Index.columns("postings", positions)), terms, stats, positions)
+    terms = dictionary(postings, n_docs)
+    counts = (n_docs, total, average)
+    return Index(lengths, postings.select(*Index.columns("postings", positions)), terms, collection(terms, counts), positions, counted=counts)
+
+
+def dictionary(postings: DataFrame, n_docs: int) -> DataFrame:
+    found = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("norm").alias("min_norm"))
+    return found.withColumn("idf", idf(F.lit(n_docs), F.col("df")))
+
+
+def collection(terms: DataFrame, counted: tuple[int, int, float]) -> DataFrame:
+    n_docs, total, average = (F.lit(x).cast(t) for x, t in zip(counted, ("long", "long", "float"), strict=True))
+    return terms.agg(F.count("*").alias("n_terms")).select(n_docs.alias("n_docs"), "n_terms", total.alias("total_tokens"), average.alias("avgdl"))
 
 
 def vocabulary(docs: DataFrame, limit: int | None = None) -> DataFrame:

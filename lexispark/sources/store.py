@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import Index
+from ..operators.tables import Index, collection, dictionary
 
 FORMAT, VERSION = "lexispark-index", 1
 TABLES = ("docs", "postings", "terms", "stats")
@@ -40,14 +40,17 @@ def save_index(index: Index, path: str, row_group_bytes: int = 16 << 20) -> None
     if fs.exists(where):
         raise FileExistsError(f"{path} exists; an index is written once")
     draft = f"{path}.{uuid.uuid4().hex}.tmp"
-    layout = {
-        "docs": index.docs,
-        "postings": index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"),
-        "terms": index.terms.repartitionByRange("term").sortWithinPartitions("term"),
-        "stats": index.stats.coalesce(1),
-    }
-    for name, table in layout.items():
+
+    def put(name: str, table: DataFrame) -> DataFrame:
         table.write.option("parquet.block.size", row_group_bytes).parquet(f"{draft}/{name}")
+        return spark.read.parquet(f"{draft}/{name}")
+
+    put("docs", index.docs)
+    postings = put("postings", index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"))
+    # the dictionary of a new index is got from the postings just written, not from the texts again
+    terms = dictionary(postings, index.counted[0]) if index.counted else index.terms
+    terms = put("terms", terms.repartitionByRange("term").sortWithinPartitions("term"))
+    put("stats", (collection(terms, index.counted) if index.counted else index.stats).coalesce(1))
     sums = {name: checksum(spark.read.parquet(f"{draft}/{name}")) for name in TABLES}
     manifest = {"format": FORMAT, "version": VERSION, "positions": index.has_positions, "tables": {n: {"rows": r, "checksum": s} for n, (r, s) in sums.items()}}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{draft}/manifest")
