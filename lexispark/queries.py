@@ -18,8 +18,8 @@ from .sources import number_rows, open_index, save_index, tsv_corpus
 from .sources.store import verify
 
 Run = Callable[[SparkSession, str], DataFrame]
-#: (Spark application, table path): the folder of its index.
-_BUILT: dict[tuple[str, str], str] = {}
+#: (Spark application, table path): its index, opened.
+_BUILT: dict[tuple[str, str], Index] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -43,15 +43,15 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def stored(spark: SparkSession, sf_dir: str, table: str = "documents") -> Index:
-    """The table's index with positions, built and written at its first use in a session, and opened from then on."""
+    """The table's index with positions, built, written and opened at its first use in a session."""
     at = (spark.sparkContext.applicationId, f"{sf_dir}/{table}")
     if at not in _BUILT:
         path = f"{work_dir(spark)}/lexispark-index-{uuid.uuid4().hex}"
         save_index(build_index(corpus(spark, sf_dir, table), positions=True), path)
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-        _BUILT[at] = path
-    return open_index(spark, _BUILT[at])
+        _BUILT[at] = open_index(spark, path)
+    return _BUILT[at]
 
 
 def searcher(spark: SparkSession, sf_dir: str, table: str = "documents") -> Searcher:
