@@ -86,11 +86,12 @@ class Blocks(HTMLParser):
         self.links += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _BLOCK:
+        is_open = any(t == tag for t, _ in self.stack)
+        if tag in _BLOCK and (is_open or tag == "p"):  # an end without a start is nothing, but for a paragraph's
             self.flush()
         if tag == "br":
             self.parts.append(" ")
-        if tag not in _VOID and any(t == tag for t, _ in self.stack):
+        if is_open:
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
