@@ -29,7 +29,7 @@ from .common import cut, join_by_counts
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 #: Members of a bucket that are compared with all others in one later round.
-LEADERS = 64
+LEADERS = 256
 #: Over how many tasks the pairs of one document can be spread.
 SALTS = 64
 #: Most ids that are broadcast; more are joined by shuffle.
@@ -230,10 +230,12 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
     texts = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"), "texts")
     member = member.select("bucket", "doc_id", "n", F.lit(False).alias("done")).unionByName(member.where("doc_id = head.doc_id").select("bucket", "doc_id", "n", F.lit(True).alias("done")))
     member = cut(member.groupBy("bucket", "doc_id", "n").agg(F.max("done").alias("done")).where("not done").drop("done"), "rest")
-    seen = cut(_verified(pairs, texts, width, percent), "verified")
+    seen = fresh_seen = cut(_verified(pairs, texts, width, percent), "verified")
+    labels = None
     while True:
         found = seen.where("linked").select("a", "b")
-        labels = connected(found) if found.limit(1).count() else None
+        if fresh_seen is not None and fresh_seen.where("linked").limit(1).count():
+            labels = connected(found)
         named = member.withColumn("label", F.col("doc_id")) if labels is None else member.join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
         active = cut(named.join(open_, "bucket", "left_semi"), "active")
@@ -245,7 +247,9 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
         met = active.join(heads, "bucket").where((F.col("label") != F.col("head_label")) & alike(F.col("n"), F.col("head.n")))
         wanted = met.select(F.least("doc_id", "head.doc_id").alias("a"), F.greatest("doc_id", "head.doc_id").alias("b")).distinct()
         fresh = cut(wanted.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        seen = cut(seen.unionByName(_verified(fresh, texts, width, percent)), "verified")
+        fresh_seen = cut(_verified(fresh, texts, width, percent), "verified") if fresh.limit(1).count() else None
+        if fresh_seen is not None:
+            seen = seen.unionByName(fresh_seen)
         used = heads.select("bucket", F.col("head.doc_id").alias("doc_id"))
         member = cut(active.select("bucket", "doc_id", "n").join(used, ["bucket", "doc_id"], "left_anti"), "rest")
 
