@@ -129,3 +129,13 @@ def test_pipeline(spark, tmp_path):
     assert sum(nears.doc_id >= 2000) == 1 and {*nears.doc_id} <= {*lines.doc_id}
     tokens = packing.Tokens(P.path("byte_bpe_50k.json"), P.PATTERN)
     assert packed.length.sum() == sum(len(tokens(t)) + 1 for t in nears.text) and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_near_stage_counts_five_words(spark, tmp_path):
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    changed = lambda w: [*w[:20], "changed", *w[21:]]
+    loose, close = words(41), words(60)  # one word changed: 34/42 on four words but 32/42 on five, and 51/61 on five
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((loose, changed(loose), close, changed(close)))]
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
