@@ -122,6 +122,22 @@ def test_search(spark, monkeypatch, shard):
     assert search_wand.search(docs.limit(0), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [32_768, 60, 25])
+def test_copies_in_several_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(search_wand, "SHARD", shard)
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(400)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (j + 1) for j in range(400)], k=n))
+    copied = [text(90) for _ in range(6)]
+    rows = [(i, copied[i % 12] if i % 12 < 6 else text(90)) for i in range(360)]  # 30 copies of each
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(copied)), "query_id long, text string")
+    got = search_wand.search(docs, queries, 10).collect()
+    for q in range(6):
+        mine = sorted((r["rank"], r.doc_id, r.score) for r in got if r.query_id == q)
+        assert [m[:2] for m in mine] == [(j + 1, 12 * j + q) for j in range(10)] and len({m[2] for m in mine}) == 1
+
+
 @pytest.mark.parametrize("shard", [16_384, 300])
 def test_neighbours(spark, monkeypatch, shard):
     monkeypatch.setattr(ann_forest, "SHARD", shard)
