@@ -10,7 +10,7 @@ Links make components; a bucket whose members aren't all of one component goes o
 compared, until each pair in it was compared or is connected.  So pairs are never expanded, and none is left out.
 
 Defined cases: null text is empty; without words a document is linked with nothing; rows that share a ``doc_id`` are one
-node, linked through any of their texts; a row without ``doc_id`` is linked with nothing and kept; an empty table gives
+node, linked through any of their texts, so that they share a component and are kept or not together; a row without ``doc_id`` is linked with nothing and kept; an empty table gives
 an empty one; columns of other names are ignored by components and carried by dedup.
 """
 
@@ -228,7 +228,7 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
     )
     ids = _few(cut(member.select("doc_id").distinct(), "ids"))
     texts = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"), "texts")
-    member = member.select("bucket", "doc_id", "n", F.lit(False).alias("done")).unionByName(member.where("doc_id = head.doc_id").select("bucket", "doc_id", "n", F.lit(True).alias("done")))
+    member = member.select("bucket", "doc_id", "n", F.lit(False).alias("done")).unionByName(member.where("doc_id = head.doc_id and n = head.n").select("bucket", "doc_id", "n", F.lit(True).alias("done")))
     member = cut(member.groupBy("bucket", "doc_id", "n").agg(F.max("done").alias("done")).where("not done").drop("done"), "rest")
     seen = fresh_seen = cut(_verified(pairs, texts, width, percent), "verified")
     labels = None
@@ -250,8 +250,8 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
         fresh_seen = cut(_verified(fresh, texts, width, percent), "verified") if fresh.limit(1).count() else None
         if fresh_seen is not None:
             seen = seen.unionByName(fresh_seen)
-        used = heads.select("bucket", F.col("head.doc_id").alias("doc_id"))
-        member = cut(active.select("bucket", "doc_id", "n").join(used, ["bucket", "doc_id"], "left_anti"), "rest")
+        used = heads.select("bucket", "head.doc_id", "head.n")
+        member = cut(active.select("bucket", "doc_id", "n").join(used, ["bucket", "doc_id", "n"], "left_anti"), "rest")
 
 
 def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -261,12 +261,21 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     linkable = every.where("n > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
-    labels, _ = links(reps, docs, width, percent)
+    labels, linked = links(reps, docs, width, percent)
+    repeated = every.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = bool(repeated.limit(1).count())
+    if again:
+        repeated = _few(cut(repeated, "repeated"))
+        held = join_by_counts(linkable, classes, ["s1", "s2", "n"], "copies").join(repeated, "doc_id", "left_semi")
+        labels = connected(linked.unionByName(held.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     named = classes.withColumn("component_id", F.col("rep"))
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep")).drop("label")
     found = join_by_counts(linkable.select("doc_id", "n", "s1", "s2"), cut(named, "named"), ["s1", "s2", "n"], "copies").select("doc_id", "n", "component_id")
     alone = every.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    if again:
+        nodes = cut(found.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("node")), "nodes")
+        alone = alone.join(_few(nodes), "doc_id", "left").select("doc_id", "n", F.coalesce("node", "component_id").alias("component_id"))
     out = found.unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -62,6 +62,16 @@ def test_components(spark):
     assert sorted(i for i in ids if i is not None) == sorted({i for i, _, _, k in got if k and i is not None}) and ids.count(None) == 1
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(5, one), (5, two), (2, one), (7, two), (5, ""), (9, three), (9, None), (9, three + " more"), (8, three), (11, two.upper()), (11, three), (20, "alone"), (20, ""), (21, None), (21, None)]
+    for some in (rows, rows[:3]):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        judged = minhash.components(df).collect()
+        assert sorted(map(tuple, judged), key=repr) == brute_components(some)
+        assert sorted(r.doc_id for r in minhash.dedup(df).collect()) == sorted({r.doc_id for r in judged if r.kept})
+
+
 def test_components_of_nothing(spark):
     assert minhash.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = minhash.components(spark.createDataFrame([(1, "just one text of words")], "doc_id long, text string")).collect()
