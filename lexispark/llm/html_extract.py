@@ -33,6 +33,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SKIP = frozenset("script style template head title iframe object".split())
 #: Start tags that end an open element of the kinds named, up to an element that bounds them.
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+#: Start tags that leave an open head open; any other ends it, unless it lies in an element of one of these.
+_IN_HEAD = frozenset("title meta link script style base noscript template".split())
 _BOUNDS = frozenset("ul ol table dl select menu body html".split())
 _NOT_IN_P = _BLOCK - {"button", "label", "option", "select", "textarea", "video", "audio", "object", "canvas", "iframe", "noscript", "template"}
 _SPACE = re.compile(r"\s+")
@@ -61,6 +63,16 @@ class Blocks(HTMLParser):
         self.skipped -= tag in _SKIP
         self.links -= tag == "a"
 
+    def end_head(self) -> None:
+        """Ends a head left open, unless an element that belongs there is open in it."""
+        for depth in range(len(self.stack) - 1, -1, -1):
+            open_ = self.stack[depth][0]
+            if open_ == "head":
+                while len(self.stack) > depth:
+                    self.pop()
+            if open_ == "head" or open_ in _IN_HEAD or open_ == "body":
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self.flush()
@@ -75,6 +87,8 @@ class Blocks(HTMLParser):
                         break
                     if open_ in _BOUNDS or (ends == {"p"} and open_ in _BLOCK):
                         break
+        if self.skipped and tag not in _IN_HEAD:
+            self.end_head()
         if tag == "br":
             self.parts.append(" ")
         if tag in _VOID:
@@ -100,6 +114,8 @@ class Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)  # in HTML a slash ends nothing
 
     def handle_data(self, data: str) -> None:
+        if self.skipped and data.strip():
+            self.end_head()  # text ends an open head as well
         if self.skipped or not data:
             return
         if not self.parts:

@@ -104,6 +104,15 @@ def test_odd_markup():
     assert html_extract.main_text("<" * 1000 + "<p" * 1000, html_extract.field()) is not None
 
 
+def test_head_left_open():
+    head = "<html><head><meta charset=utf-8><title>x</title><style>p{}</style><script>var t;</script><noscript><p>no</p></noscript><template><div>no</div></template>"
+    assert html_extract.main_text(f"<html><head><title>x</title>{ARTICLE}", html_extract.field()) == EXPECTED
+    assert html_extract.main_text(f"{head}<link href=x>{ARTICLE}</html>", html_extract.field()) == EXPECTED
+    texts = lambda html: [b[0] for b in html_extract.blocks_of(html)]
+    assert texts(f"{head}<img src=x>text<p>more")[-2:] == ["text", "more"] and texts("<head><title>x</title>text<p>more") == ["text", "more"]
+    assert texts("<head><title>x</title><span>in</span><p>more") == ["in", "more"] and texts("<body>a<iframe><p>no</iframe>b<template><p>no</template>c") == ["a", "b", "c"]
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels = labelled(240, seed=3)
     line = "a line of boilerplate that many documents have in common, word for word"
