@@ -3,7 +3,9 @@
 A sketch is filled in rounds.  In each of the first ``COORDINATES`` rounds every shingle is hashed to one bin and a
 value; a bin keeps the least value of the earliest round that reached it; rounds go on until no bin is empty, and past
 that many rounds fill bin by bin, so that every coordinate is filled for certain.  ``BANDS`` bands of ``ROWS``
-coordinates bring documents together: two of similarity 0.8 share no band with a probability of 5 in a million.
+coordinates bring documents together: two of similarity 0.8 share no band with a probability of 5 in a million.  For
+less than 80 percent bands are shorter and more (see shape), so that two of just that similarity miss each other no more
+often.
 
 Equal sets are one class from the start.  In each bucket one member is compared with all others on their full sets.
 Links make components; a bucket whose members aren't all of one component goes on with further members as the one
@@ -16,6 +18,7 @@ an empty one; columns of other names are ignored by components and carried by de
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,6 +31,8 @@ from .common import cut, join_by_counts
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
+#: A sketch has room for the numbers of twice so many rounds and no more; the least percent is what it is enough for.
+MOST_COORDINATES, LEAST_PERCENT = 512, 3
 #: Members of a bucket that are compared with all others in one later round.
 LEADERS = 256
 #: Over how many tasks the pairs of one document can be spread.
@@ -129,14 +134,26 @@ def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarr
     return out.reshape(n, t)
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
+def shape(percent: int) -> tuple[int, int]:
+    """(bands, rows) by which two sets of that similarity share no band as rarely as two of 0.8 in BANDS of ROWS."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100, not {percent}")
+    if percent >= 80:
+        return BANDS, ROWS
+    missed = BANDS * math.log1p(-(0.8**ROWS))
+    shapes = [(math.ceil(missed / math.log1p(-((percent / 100) ** rows))), rows) for rows in range(1, ROWS + 1)]
+    return [s for s in shapes if s[0] * s[1] <= MOST_COORDINATES][-1]
+
+
+def bands(sketch: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """The bucket of each band of each sketch."""
-    grouped = sketch.reshape(len(sketch), BANDS, ROWS) * _ODD[2 : 2 + ROWS]
-    return mix(grouped.sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[50])
+    grouped = sketch.reshape(len(sketch), n, rows) * _ODD[2 : 2 + rows]
+    return mix(grouped.sum(2, dtype=np.uint64) + np.arange(1, n + 1, dtype=np.uint64) * _ODD[50])
 
 
-def _sketched(docs: DataFrame, width: int) -> DataFrame:
+def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, s1, s2, bands): size and hash of each set, and buckets of those that can have unequal partners."""
+    many, rows = shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +161,8 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
             n, s1, s2, keys = [], [], [], []
 
             def flush():
-                big = [k for k, s in enumerate(every) if len(s) > 3]  # smaller ones reach 0.8 only with equal sets
-                found = dict(zip(big, bands(sketches([every[k] for k in big])).view(np.int64) if big else (), strict=True))
+                big = [k for k, s in enumerate(every) if len(s) and len(s) * (100 - percent) >= percent]  # smaller ones reach it only with equal sets
+                found = dict(zip(big, bands(sketches([every[k] for k in big], many * rows), many, rows).view(np.int64) if big else (), strict=True))
                 keys.extend(found.get(k) for k in range(len(every)))
                 every.clear()
 
@@ -257,7 +274,7 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
 def components(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    every = cut(_sketched(docs, width), "sketches")
+    every = cut(_sketched(docs, width, percent), "sketches")
     linkable = every.where("n > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")

@@ -72,6 +72,26 @@ def test_rows_of_one_id_are_one_node(spark):
         assert sorted(r.doc_id for r in minhash.dedup(df).collect()) == sorted({r.doc_id for r in judged if r.kept})
 
 
+def test_other_percents(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"{rng.random()}" for _ in range(n)]
+    rows = []
+    for _ in range(15):  # 3 of 4 shingles, and 40 of 80
+        small, large = words(7), words(43)
+        rows += [" ".join(w) for w in (small[:6], small, large + words(20), large + words(20))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    of = lambda percent: [r.component_id for r in sorted(minhash.components(df, percent=percent).collect())]
+    assert of(75) == [i - (i % 4 == 1) for i in range(60)]
+    assert of(50) == [i - i % 2 for i in range(60)]
+    assert minhash.shape(80) == (40, 6)
+    for percent in range(3, 80):
+        n, each = minhash.shape(percent)
+        assert (1 - (percent / 100) ** each) ** n <= (1 - 0.8**6) ** 40 * 1.001 and n * each <= 512
+    for percent in (0, 2, 101):
+        with pytest.raises(ValueError):
+            minhash.components(df, percent=percent)
+
+
 def test_components_of_nothing(spark):
     assert minhash.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = minhash.components(spark.createDataFrame([(1, "just one text of words")], "doc_id long, text string")).collect()
