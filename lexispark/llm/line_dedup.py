@@ -38,22 +38,26 @@ def row_hash(doc_id: Column, text: Column) -> Column:
 
 
 def sorted_lines(docs: DataFrame, min_length: int) -> DataFrame:
-    """(h1, h2, salt, doc_id, row, pos) of each long line, range-partitioned and sorted."""
+    """(h1, h2, doc_id, row, pos, first) of each long line, range-partitioned and sorted.
+
+    ``first`` is 1 for the first occurrence of a key in a document.  Its window streams over the ranges as they are; it
+    would shuffle and sort again over rows that were written and read back.
+    """
     lines = docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias(ROW), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keys = lines.where(F.length("line") >= min_length).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_length)
     hashed = keys.select(
         F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id", ROW, "pos",
     )
-    return hashed.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc_nulls_last("doc_id"), ROW, "pos")
+    ranges = hashed.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc_nulls_last("doc_id"), ROW, "pos")
+    stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc_id"), ROW, "pos")
+    first = (F.row_number().over(stream) == 1) | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(stream))
+    return ranges.withColumn("first", first.cast("int")).drop("salt")
 
 
 def common_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     """(h1, h2, n_docs, n_rows, keep_doc) of the keys found in at least ``min_docs`` documents."""
-    stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc_id"), ROW, "pos")
-    first = (F.row_number().over(stream) == 1) | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(stream))
-    seen = lines.withColumn("first", first.cast("int"))
-    counts = seen.groupBy("h1", "h2").agg(F.sum("first").alias("n_docs"), F.count("*").alias("n_rows"), F.max("doc_id").alias("keep_doc"))
+    counts = lines.groupBy("h1", "h2").agg(F.sum("first").alias("n_docs"), F.count("*").alias("n_rows"), F.max("doc_id").alias("keep_doc"))
     return counts.where(F.col("n_docs") >= min_docs)
 
 

@@ -51,6 +51,14 @@ def test_bitmap_runs(spark):
     assert got == {i: ([(0, 1), (2, 2), (5, None)], 2) for i in range(4)}
 
 
+def test_first_occurrences_stream_over_the_ranges(spark, monkeypatch):
+    plans, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, name))[1])
+    line_dedup.keep_bitmaps(spark.createDataFrame([(i, LONG) for i in range(6)], "doc_id long, text string"))
+    window = [p for p in plans if "Window" in p]
+    assert len(window) == 1 and window[0].count("Exchange") == 1 and "Exchange rangepartitioning" in window[0] and window[0].count("Sort [") == 1
+
+
 def judged(spark, urls, rules=None):
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     return [tuple(r) for r in url_filter.judge(df, rules).orderBy("page_id").select("host", "path", "rule", "verdict").collect()]
