@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,36 +111,35 @@ def test_sketch_estimates_similarity():
 
 
 def brute_bm25(rows, queries, k):
-    docs = [(i, re.findall(r"[^\W_]+", (t or "").lower())) for i, t in rows]
+    docs = [(i, Counter(re.findall(r"[^\W_]+", (t or "").lower()))) for i, t in rows]
     n = sum(bool(w) for _, w in docs)
-    average = sum(len(w) for _, w in docs) / max(1, n)
-    df = {}
-    for _, w in docs:
-        for t in set(w):
-            df[t] = df.get(t, 0) + 1
+    average = sum(w.total() for _, w in docs) / max(1, n)
+    df = Counter(t for _, w in docs for t in w)
     out = {}
     for q, text in queries:
-        words = re.findall(r"[^\W_]+", (text or "").lower())
+        words = Counter(re.findall(r"[^\W_]+", (text or "").lower()))
         scored = []
         for i, w in docs:
-            s = sum(words.count(t) * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / average)) for t in {*words} & {*w})
+            long = 1.2 * (0.25 + 0.75 * w.total() / average)
+            s = sum(words[t] * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w[t] / (w[t] + long) for t in words.keys() & w.keys())
             if s > 0 and i is not None:
                 scored.append((-s, i))
         out[q] = sorted(scored)[:k]
     return out
 
 
-@pytest.mark.parametrize("shard", [32_768, 40])
-def test_search(spark, monkeypatch, shard):
-    monkeypatch.setattr(search_wand, "SHARD", shard)
+@pytest.mark.parametrize("shard,common", [(32_768, 1 << 18), (40, 30)])
+def test_search(spark, monkeypatch, shard, common):
+    monkeypatch.setattr(search_wand, "DOCS", shard)
+    monkeypatch.setattr(search_wand, "COMMON", common)
     monkeypatch.setattr(search_wand, "BLOCK", 4)
-    monkeypatch.setattr(search_wand, "FIRST", 2)
+    monkeypatch.setattr(search_wand, "RARE", 1)
     rng = random.Random(6)
     words = ["w%d" % i for i in range(60)]
     rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=rng.choice((1, 5, 20, 80))))) for i in range(150)]
-    rows += [(200, None), (201, ""), (202, "!!"), (None, "w1 w2"), (203, rows[5][1]), (204, rows[5][1])]
+    rows += [(200, None), (201, ""), (202, "!!"), (None, "w1 w2"), (203, rows[5][1]), (204, rows[5][1]), (205, "w3 w7 " * 70_000 + " ".join(f"x{i}" for i in range(20_000)))]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
-    queries = [(q, rows[q][1]) for q in (0, 5, 20, 40, 77)] + [(900, "w50"), (901, "none at all"), (902, None)]
+    queries = [(q, rows[q][1]) for q in (0, 5, 20, 40, 77)] + [(900, "w50"), (901, "none at all"), (902, None), (903, rows[5][1]), (205, rows[-1][1])]
     got = search_wand.search(docs, spark.createDataFrame(queries, "query_id long, text string"), 7).collect()
     expected = brute_bm25(rows, queries, 7)
     for q, best in expected.items():
@@ -150,11 +150,38 @@ def test_search(spark, monkeypatch, shard):
         if len(close) == len(best):
             assert [m[1] for m in mine] == [i for _, i in best]
     assert search_wand.search(docs.limit(0), spark.createDataFrame(queries, "query_id long, text string")).count() == 0
+    among = {r.query_id for r in search_wand.search_among(docs, 20, 7).collect()}
+    assert among == {i for i, t in rows if i is not None and i % 20 == 0 and re.search(r"\w", t or "")}
+
+
+def test_blocks_are_skipped():
+    rng = random.Random(7)
+    words = [[f"{c}{i}" for i in range(300)] for c in "abcd"]  # four languages, of which a query meets one
+    docs, hashes = search_wand.Gathered(), search_wand.Hasher()
+    for i in range(4000):
+        length, top, terms, tfs = search_wand.forward(" ".join(rng.choices(words[i % 4], [1 / (j + 1) for j in range(300)], k=rng.choice((20, 60, 200)))), hashes)
+        docs.add(i, length, top, b"", b"", terms.tobytes(), search_wand.narrow(tfs))
+    shard = search_wand.Shard(docs, 90.0)
+    queries = []
+    for _ in range(50):
+        _, _, terms, _ = search_wand.forward(" ".join(rng.sample(rng.choice(words), 6)), hashes)
+        queries.append((terms, np.array([rng.random() for _ in terms])))
+    found = shard.search(queries, 5)
+    assert shard.skipped > 0.7 * (shard.skipped + shard.read) and shard.skipped + shard.read == 50 * shard.blocks
+    for (terms, weights), (ids, scores) in zip(queries, found, strict=True):
+        full = np.zeros(shard.n)
+        for t, w in zip(terms, weights, strict=True):
+            at = np.flatnonzero(shard.terms == t)
+            for a in at:
+                own = np.flatnonzero(shard.code == a)
+                d = np.searchsorted(shard.first, own, "right") - 1
+                full[d] += w * shard.tf[own] / (shard.tf[own] + shard.norm[d])
+        assert scores == pytest.approx(np.sort(full)[::-1][:5]) and scores.tolist() == sorted(scores, reverse=True) and len({*ids.tolist()}) == 5
 
 
 @pytest.mark.parametrize("shard", [32_768, 60, 25])
 def test_copies_in_several_shards(spark, monkeypatch, shard):
-    monkeypatch.setattr(search_wand, "SHARD", shard)
+    monkeypatch.setattr(search_wand, "DOCS", shard)
     rng = random.Random(12)
     words = ["w%d" % i for i in range(400)]
     text = lambda n: " ".join(rng.choices(words, [1 / (j + 1) for j in range(400)], k=n))
