@@ -4,14 +4,18 @@
     python -m lexispark.app search index [-k N] [--and | --phrase] [-t] words...
     python -m lexispark.app verify index
     python -m lexispark.app stats index
+    python -m lexispark.app serve index [port]      (GET /search?q=&k=&op=, /stats, /health)
 
 Exit codes: 0 done, 1 a file can't be read or isn't an index, 2 wrong use.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -65,6 +69,38 @@ class Service:
         return (503, {"status": "down", "error": self.problem}) if self.index is None else (200, {"status": "up"})
 
 
+def serve(service: Service, port: int = 8080, host: str = "127.0.0.1") -> HTTPServer:
+    """A server of the service's answers as JSON; the caller runs it."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            url = urlsplit(self.path)
+            given = {name: values[-1] for name, values in parse_qs(url.query, keep_blank_values=True).items()}
+            if url.path == "/search":
+                k = given.get("k", "10")
+                if "q" not in given:
+                    status, body = 400, {"error": "q is missing"}
+                elif not k.lstrip("-").isdigit():
+                    status, body = 400, {"error": "k is not a number"}
+                else:
+                    status, body = service.search(given["q"], int(k), given.get("op", "or"))
+            elif url.path in ("/stats", "/health"):
+                status, body = getattr(service, url.path[1:])()
+            else:
+                status, body = 404, {"error": f"nothing at {url.path}"}
+            text = json.dumps(body).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(text)))
+            self.end_headers()
+            self.wfile.write(text)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    return HTTPServer((host, port), Handler)
+
+
 def _index(spark: SparkSession, args: list[str]) -> str:
     positions = "--positions" in args
     rest = [a for a in args if a != "--positions"]
@@ -108,7 +144,7 @@ def _search(spark: SparkSession, args: list[str]) -> str:
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
     try:
-        if not args or args[0] not in ("index", "search", "verify", "stats"):
+        if not args or args[0] not in ("index", "search", "verify", "stats", "serve"):
             raise ValueError(__doc__)
         spark = spark or SparkSession.builder.appName("lexispark").getOrCreate()
         command, *rest = args
@@ -116,6 +152,10 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             print(_index(spark, rest))
         elif command == "search":
             print(_search(spark, rest))
+        elif command == "serve":
+            if len(rest) not in (1, 2) or not all(port.isdigit() for port in rest[1:]):
+                raise ValueError("serve takes an index and perhaps a port")
+            serve(Service(spark, rest[0]), *map(int, rest[1:])).serve_forever()
         elif len(rest) != 1:
             raise ValueError(f"{command} takes an index")
         elif command == "verify":

@@ -32,6 +32,13 @@ def length_norm(length: Column) -> Column:
     return F.when(length < EXACT + 8, length).otherwise(coded + EXACT)
 
 
+def decoded_length(norm: Column) -> Column:
+    """The quantized length that a byte of length_norm() stands for."""
+    over = norm.cast("int") - EXACT
+    coded = F.call_function("shiftleft", over.bitwiseAND(F.lit(7)).bitwiseOR(F.lit(8)), F.shiftright(over, 3) - 1) + EXACT
+    return F.when(norm < EXACT + 8, norm.cast("int")).otherwise(coded)
+
+
 def average_length(tokens: Column, docs: Column) -> Column:
     return (tokens / F.greatest(docs, F.lit(1)).cast("double")).cast("float")
 

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bm25, tokenize
+from ..functions import bm25, decoded_length, norm_inverse, tokenize
 from ..plans import And, Or, Phrase, Query, Term
 from .tables import Index
 
 #: Up to so many documents of a conjunction's rarest term are broadcast to cut down the other terms' postings.
 MAX_BROADCAST_DOCS = 1_000_000
+#: Disjunctions over fewer postings are scored in full: one job more to find a threshold costs more than it saves.
+PRUNE_FROM = 1_000_000
+#: A term with more than one of HEAVY tokens is joined over SALTS ranges of documents; there are fewer than HEAVY such terms.
+HEAVY, SALTS = 2048, 64
+#: Up to so many hits search() takes to the driver, with the count from the same matches.
+MAX_HITS = 10_000
 
 
 class NoPositionsError(RuntimeError):
@@ -56,6 +62,14 @@ class Searcher:
 
     # -- matching
 
+    def _inverse(self, norm: Column) -> Column:
+        """What a posting's norm byte stands for in this collection."""
+        return norm_inverse(decoded_length(norm), F.lit(self.index.counted[2]).cast("float"))
+
+    def _scored(self, postings: DataFrame, weight: Column) -> DataFrame:
+        """(doc, part, ...) of postings joined to their clauses."""
+        return postings.withColumn("part", bm25(weight, F.col("tf"), self._inverse(F.col("norm"))))
+
     def _postings(self, terms: tuple[str, ...], *columns: str) -> DataFrame:
         return self.index.postings.where(F.col("term").isin(*sorted({*terms}))).select("term", "doc", *columns)
 
@@ -84,10 +98,10 @@ class Searcher:
             return self.spark.createDataFrame([], empty)
         if isinstance(query, Phrase) and len(terms) > 1:
             return self._phrase(terms, known)
-        postings = self._postings(tuple(known), "tf", "norm_inverse")
+        postings = self._postings(tuple(known), "tf", "norm")
         if isinstance(query, And):
             postings = self._narrowed(postings, terms, known)
-        scored = postings.join(self._clauses(terms, known), "term").select("doc", bm25(F.col("idf"), F.col("tf"), F.col("norm_inverse")).alias("part"))
+        scored = self._scored(postings.join(self._clauses(terms, known), "term"), F.col("idf"))
         per_doc = scored.groupBy("doc").agg(F.sum("part").cast("float").alias("score"), F.count("*").alias("n"))
         if isinstance(query, And):
             per_doc = per_doc.where(F.col("n") == len(terms))
@@ -95,31 +109,42 @@ class Searcher:
 
     def _phrase(self, terms: tuple[str, ...], known: dict) -> DataFrame:
         """An occurrence is a start that every clause agrees on: its position less its place in the phrase."""
-        postings = self._narrowed(self._postings(terms, "norm_inverse", "positions"), terms, known)
-        starts = postings.join(self._clauses(terms, known), "term").select("doc", "norm_inverse", F.explode(F.transform("positions", lambda p: p - F.col("idx"))).alias("start"))
-        occurrences = starts.groupBy("doc", "norm_inverse", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
+        postings = self._narrowed(self._postings(terms, "norm", "positions"), terms, known)
+        starts = postings.join(self._clauses(terms, known), "term").select("doc", "norm", F.explode(F.transform("positions", lambda p: p - F.col("idx"))).alias("start"))
+        occurrences = starts.groupBy("doc", "norm", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
         weight = F.lit(0.0).cast("float")
         for t in terms:
             weight = weight + F.lit(known[t][1]).cast("float")
-        counted = occurrences.groupBy("doc", "norm_inverse").agg(F.count("*").alias("tf"))
-        return counted.select("doc", bm25(weight, F.col("tf"), F.col("norm_inverse")).alias("score"))
+        counted = occurrences.groupBy("doc", "norm").agg(F.count("*").alias("tf"))
+        return self._scored(counted, weight).select("doc", F.col("part").alias("score"))
 
     # -- results
 
     def ranked(self, scored: DataFrame, k: int) -> DataFrame:
         """(rank, doc, key, score) of the ``k`` best; equal scores rank by the smaller document."""
         top = scored.orderBy(F.desc("score"), "doc").limit(k)
-        keyed = self.index.docs.select("doc", "key").join(F.broadcast(top), "doc")
+        few = F.broadcast(top) if k <= MAX_BROADCAST_DOCS else top
+        keyed = self.index.docs.select("doc", "key").join(few, "doc")
         rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc")).cast("long")
         return keyed.select(rank.alias("rank"), "doc", "key", "score").orderBy("rank")
 
     def top(self, query: Query, k: int) -> DataFrame:
         if not isinstance(k, int) or k <= 0:
             raise ValueError(f"k must be positive, not {k!r}")
+        if isinstance(query, Or) and sum(df for df, *_ in self.lookup(query.terms).values()) >= PRUNE_FROM:
+            return self.top_pruned(query, k)
         return self.ranked(self.matches(query), k)
 
     def search(self, query: Query, k: int = 10) -> Found:
-        return Found(self.top(query, k), self.count(query))
+        """Hits and total.  Up to MAX_HITS are fetched, and they and the total are got from one evaluation of the matches."""
+        if not isinstance(k, int) or not 0 < k <= MAX_HITS:
+            return Found(self.top(query, k), self.count(query))
+        scored = self.matches(query).persist()
+        try:
+            hits = self.ranked(scored, k).collect()
+            return Found(self.spark.createDataFrame(hits, "rank long, doc long, key string, score float"), scored.count())
+        finally:
+            scored.unpersist()
 
     def count(self, query: Query) -> int:
         return self.count_table(query).first()[0]
@@ -150,25 +175,45 @@ class Searcher:
         order = sorted((t for t in {*query.terms} if t in known), key=lambda t: known[t][0])
         times = {t: query.terms.count(t) for t in order}
         if len(order) < 2 or known[order[0]][0] < k:
-            return self.top(query, k)
+            return self.ranked(self.matches(query), k)
         first = self.matches(Or(*[t for t in query.terms if t == order[0]])).orderBy(F.desc("score")).limit(k)
         threshold = first.agg(F.min("score")).first()[0]
         optional: list[str] = []
         spent = 0.0
-        for t in reversed(order[1:]):  # weight bounds the part of one clause
-            if spent + times[t] * known[t][1] >= threshold * (1 - 1e-6):
+        for t in reversed(order[1:]):
+            bound = times[t] * self._most(*known[t])
+            if spent + bound >= threshold * (1 - 1e-6):
                 break
-            spent += times[t] * known[t][1]
+            spent += bound
             optional.append(t)
         needed = [t for t in order if t not in optional]
         candidates = sum(known[t][0] for t in needed)
         if not optional or candidates > MAX_BROADCAST_DOCS:
-            return self.top(query, k)
+            return self.ranked(self.matches(query), k)
         docs = self._postings(tuple(needed)).select("doc").distinct()
-        parts = self._postings(tuple(order), "tf", "norm_inverse").join(F.broadcast(docs), "doc", "left_semi").join(self._clauses(query.terms, known), "term")
-        scored = parts.select("doc", bm25(F.col("idf"), F.col("tf"), F.col("norm_inverse")).alias("part")).groupBy("doc").agg(F.sum("part").cast("float").alias("score"))
+        postings = self._postings(tuple(order), "tf", "norm").join(F.broadcast(docs), "doc", "left_semi").join(self._clauses(query.terms, known), "term")
+        scored = self._scored(postings, F.col("idf")).groupBy("doc").agg(F.sum("part").cast("float").alias("score"))
         return self.ranked(scored, k)
 
+    def _most(self, df: int, weight: float, max_tf: int, min_norm: int) -> float:
+        """No part of a term is larger: that of its largest count in its shortest document."""
+        over = min_norm - 24
+        length = min_norm if min_norm < 32 else 24 + ((over & 7 | 8) << ((over >> 3) - 1))
+        return weight * (1 - 1 / (1 + max_tf / (1.2 * (0.25 + 0.75 * length / max(1e-9, self.index.counted[2])))))
+
+    def _joined(self, postings: DataFrame, clauses: DataFrame) -> DataFrame:
+        """``postings`` with the ``clauses`` (rows with a term) of their terms.
+
+        Clauses of heavy terms are repeated for each of SALTS ranges of documents, so that no task holds all postings of
+        such a term.
+        """
+        heavy = F.broadcast(self.index.terms.where(F.col("df") * HEAVY > self.index.counted[1]).select("term"))
+        salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
+        big = postings.join(heavy, "term", "left_semi").select("*", salt)
+        many = clauses.join(heavy, "term", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rest = postings.join(heavy, "term", "left_anti").join(clauses.join(heavy, "term", "left_anti"), "term")
+        return big.join(many, ["term", "salt"]).drop("salt").unionByName(rest)
+
     def batch(self, queries: DataFrame, k: int, mode: str = "or") -> DataFrame:
         """(qid, rank, doc, score): the ``k`` best for each of ``queries`` (qid, text or terms), in one plan.
 
@@ -178,9 +223,8 @@ class Searcher:
         terms = F.col("terms") if "terms" in queries.columns else tokenize(F.col("text"))
         clauses = queries.select("qid", terms.alias("terms")).select("qid", F.size("terms").alias("clauses"), F.explode("terms").alias("term"))
         weighted = clauses.groupBy("qid", "clauses", "term").agg(F.count("*").alias("times")).join(self.index.terms.select("term", "idf"), "term")
-        parts = self.index.postings.select("term", "doc", "tf", "norm_inverse").join(weighted, "term")
-        part = bm25(F.col("idf"), F.col("tf"), F.col("norm_inverse")).cast("double") * F.col("times")
-        scored = parts.groupBy("qid", "clauses", "doc").agg(F.sum(part).cast("float").alias("score"), F.sum("times").alias("n"))
+        parts = self._scored(self._joined(self.index.postings.select("term", "doc", "tf", "norm"), weighted), F.col("idf"))
+        scored = parts.groupBy("qid", "clauses", "doc").agg(F.sum(F.col("part").cast("double") * F.col("times")).cast("float").alias("score"), F.sum("times").alias("n"))
         if mode == "and":
             scored = scored.where(F.col("n") == F.col("clauses"))
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc")).cast("long")

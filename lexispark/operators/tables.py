@@ -2,50 +2,119 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import average_length, idf, length_norm, norm_inverse, quantized_length, tokenize
 
+#: A corpus of less than this for each core is spread over the cores before its texts are read.
+SPREAD_BYTES = 128 << 20
+#: Into how many ranges of documents a term's postings are cut to number them.
+RANGES = 256
+
 
-@dataclass(frozen=True)
 class Index:
-    docs: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-    has_positions: bool
-    path: str | None = None
-    #: Documents and tokens, where the tables are plans that were just made.
-    counted: tuple[int, int, float] | None = None
+    """Tables as read from a folder, or as plans over ``forward``: then each is made at its first use."""
+
+    def __init__(
+        self,
+        docs: DataFrame | None = None,
+        postings: DataFrame | None = None,
+        terms: DataFrame | None = None,
+        stats: DataFrame | None = None,
+        has_positions: bool = False,
+        path: str | None = None,
+        forward: DataFrame | None = None,
+    ):
+        self.has_positions, self.path, self.forward = has_positions, path, forward
+        given = {"docs": docs, "postings": postings, "terms": terms, "stats": stats}
+        self.__dict__.update({name: table for name, table in given.items() if table is not None})
 
     @staticmethod
     def columns(table: str, positions: bool) -> list[str]:
         return {
             "docs": ["doc", "key", "dl", "dlq", "norm", "norm_inverse"],
-            "postings": ["term", "doc", "tf", "norm", "norm_inverse"] + ["positions"] * positions,
+            "postings": ["term", "doc", "tf", "norm"] + ["positions"] * positions,
             "terms": ["term", "df", "max_tf", "min_norm", "idf"],
             "stats": ["n_docs", "n_terms", "total_tokens", "avgdl"],
         }[table]
 
+    @cached_property
+    def counted(self) -> tuple[int, int, float]:
+        """Documents, tokens, average length: one row, read once."""
+        table = self.stats if self.forward is None else statistics(self.forward)
+        return tuple(table.select("n_docs", "total_tokens", "avgdl").first() or (0, 0, 0.0))
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return with_norms(self.forward.select("doc", "key", "dl"), F.lit(self.counted[2]).cast("float")).select(*Index.columns("docs", False))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        norm = length_norm(F.col("dl")).cast("short").alias("norm")
+        return self.forward.select("doc", norm, F.inline("postings")).select(*Index.columns("postings", self.has_positions))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return dictionary(self.postings, self.counted[0])
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return collection(self.terms, self.counted)
+
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """(doc, key, tokens, dl) of the documents that have tokens.
 
-    ``docs`` has doc, key and text, or tokens of the caller's own, which are taken as they are.  A null or empty key or
-    token is an error.
+    ``docs`` has doc, key and text, or tokens of the caller's own, which are taken as they are.  A null or empty key is
+    an error; so is, of the caller's tokens, a document without any or a null or empty token.  Texts without tokens are
+    left out.
     """
-    tokens = F.col("tokens") if "tokens" in docs.columns else tokenize(F.col("text"))
-    rows = docs.select("doc", "key", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    bad = F.col("key").isNull() | (F.col("key") == "")
-    key = F.when(bad, F.raise_error(F.lit("a document has no key"))).otherwise(F.col("key"))
+    own = "tokens" in docs.columns
+    if own:
+        rows = docs.select("doc", "key", "tokens")
+    else:  # asked of the text: a condition on the tokens would make them twice
+        rows = docs.where(F.col("text").rlike(r"[\p{L}\p{Nd}]")).select("doc", "key", tokenize(F.col("text")).alias("tokens"))
+    refuse = lambda why: F.raise_error(F.lit(why))
+    if own:
+        bad = F.exists("tokens", lambda t: t.isNull() | (t == ""))
+        checked = F.when(F.col("tokens").isNull() | (F.size("tokens") == 0), refuse("a document has no tokens")).when(bad, refuse("a document has an empty token")).otherwise(F.col("tokens"))
+        rows = rows.withColumn("tokens", checked)
+    key = F.when(F.col("key").isNull() | (F.col("key") == ""), refuse("a document has no key")).otherwise(F.col("key"))
     return rows.withColumns({"key": key, "dl": F.size("tokens")})
 
 
-def statistics(tokens: DataFrame) -> DataFrame:
-    return tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens")).withColumn("avgdl", average_length(F.col("total_tokens"), F.col("n_docs")))
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores if it is too small to give each a split of its own; a large corpus stays where it lies."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return docs.repartition(cores, "doc") if size < SPREAD_BYTES * cores else docs
+
+
+def forward(docs: DataFrame, positions: bool) -> DataFrame:
+    """(doc, key, dl, postings): of each document its terms in order, with counts and perhaps positions.
+
+    A document's tokens are sorted and cut into runs in its own row, so that postings are shuffled once only, by term.
+    """
+    rows = tokenized(docs)
+    places = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if positions else F.col("tokens"))
+    rows = rows.select("doc", "key", "dl", places.alias("places"))
+    term = lambda i: F.get("places", i)["term"] if positions else F.get("places", i)
+    begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    rows = rows.withColumn("begins", begins)
+    length = lambda b, j: F.coalesce(F.get("begins", j + 1), F.col("dl")) - b
+
+    def posting(b: Column, j: Column) -> Column:
+        found = [term(b).alias("term"), length(b, j).cast("long").alias("tf")]
+        return F.struct(*found, *[F.slice("places", b + 1, length(b, j))["pos"].alias("positions")] * positions)
+
+    return rows.select("doc", "key", "dl", F.transform("begins", posting).alias("postings"))
+
+
+def statistics(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens")).withColumn("avgdl", average_length(F.col("total_tokens"), F.col("n_docs")))
 
 
 def with_norms(rows: DataFrame, average: Column) -> DataFrame:
@@ -54,22 +123,8 @@ def with_norms(rows: DataFrame, average: Column) -> DataFrame:
 
 
 def build_index(docs: DataFrame, positions: bool = False) -> Index:
-    """The tables of ``docs`` (doc, key, and text or tokens), as plans; save_index makes them a stored index.
-
-    The one-row statistics are computed first, and go into the plans as a constant: no join brings them to the rows.
-    Occurrences of a term in a document meet in the document's own task, before any shuffle.
-    """
-    tokens = tokenized(docs)
-    counted = statistics(tokens)
-    n_docs, total, average = counted.first() or (0, 0, 0.0)
-    lit_average = F.lit(average).cast("float")
-    lengths = with_norms(tokens.select("doc", "key", "dl"), lit_average)
-    occurrences = tokens.select("doc", "dl", F.posexplode("tokens").alias("pos", "term"))
-    found = [F.count("*").alias("tf")] + [F.sort_array(F.collect_list("pos")).alias("positions")] * positions
-    postings = with_norms(occurrences.groupBy("term", "doc", "dl").agg(*found), lit_average).drop("dl", "dlq")
-    terms = dictionary(postings, n_docs)
-    counts = (n_docs, total, average)
-    return Index(lengths, postings.select(*Index.columns("postings", positions)), terms, collection(terms, counts), positions, counted=counts)
+    """The tables of ``docs`` (doc, key, and text or tokens), as plans; save_index makes them a stored index."""
+    return Index(forward=forward(spread(docs), positions), has_positions=positions)
 
 
 def dictionary(postings: DataFrame, n_docs: int) -> DataFrame:
@@ -89,14 +144,27 @@ def vocabulary(docs: DataFrame, limit: int | None = None) -> DataFrame:
     return first if limit is None else first.orderBy("first_doc", "first_pos").limit(limit)
 
 
+def numbered(postings: DataFrame) -> DataFrame:
+    """``postings`` with ``nth``, the 0-based number of each among its term's, by document.
+
+    Documents are cut into RANGES ranges of about as many postings each; the numbers in a range start after the counts
+    of the ranges before it, so that no task orders all postings of a frequent term.
+    """
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = postings.agg(F.percentile_approx("doc", F.array(*map(F.lit, shares)), 10_000).alias("b")).first().b or []
+    held = postings.withColumn("range", F.size(F.filter(F.array(*[F.lit(b) for b in sorted({*bounds})]), lambda b: b < F.col("doc"))) if bounds else F.lit(0))
+    counts = held.groupBy("term", "range").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("term").orderBy("range")) - F.col("n")).drop("n")
+    own = F.row_number().over(Window.partitionBy("term", "range").orderBy("doc")) - 1
+    return held.withColumn("own", own).join(before, ["term", "range"]).withColumn("nth", F.col("before") + F.col("own")).drop("range", "own", "before")
+
+
 def impact_frontier(postings: DataFrame, block: int = 128, most: int = 24) -> DataFrame:
     """(term, block, norm, tf): of each block of a term's postings the (tf, norm) that no other beats in both.
 
-    At most ``most`` a block: the last then takes the block's largest tf.  The window that numbers a term's postings
-    spills to disk, and its rows are three numbers each.
+    At most ``most`` a block: the last then takes the block's largest tf.
     """
-    nth = F.row_number().over(Window.partitionBy("term").orderBy("doc")) - 1
-    best = postings.withColumn("block", F.floor(nth / block).cast("long")).groupBy("term", "block", "norm").agg(F.max("tf").alias("tf"))
+    best = numbered(postings.select("term", "doc", "norm", "tf")).groupBy("term", F.floor(F.col("nth") / block).cast("long").alias("block"), "norm").agg(F.max("tf").alias("tf"))
     up = Window.partitionBy("term", "block").orderBy("norm")
     beaten = F.max("tf").over(up.rowsBetween(Window.unboundedPreceding, -1))
     kept = best.withColumn("before", beaten).where(F.col("before").isNull() | (F.col("tf") > F.col("before"))).drop("before")

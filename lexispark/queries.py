@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import json
 import uuid
 from collections.abc import Callable
+from contextlib import redirect_stderr, redirect_stdout
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .app import Service
-from .functions import idf, normalize_term, quantized_length, tokenize
+from .app import Service, main
+from .functions import decoded_length, display, idf, length_norm, normalize_term, quantized_length, tokenize
 from .operators import Index, Searcher, build_index
 from .operators.tables import impact_frontier, tokenized, vocabulary
 from .plans import And, Or, Phrase, Query, Term
-from .sources import number_rows, open_index, save_index, tsv_corpus
+from .operators.search import NoPositionsError
+from .sources import IndexFormatError, generated_corpus, number_rows, open_index, query_file, save_index, tsv_corpus
+from .sources.shared import drop_at_exit, shared_dir
 from .sources.store import verify
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,20 +40,17 @@ def corpus(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFr
     return rows.select(doc.alias("doc"), doc.cast("string").alias("key"), F.col(text).alias("text"))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of this machine's only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/indexes" if shared else tempfile.gettempdir()
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, gone when the session ends."""
+    return drop_at_exit(spark, f"{shared_dir(spark)}/lexispark-{name}-{uuid.uuid4().hex}")
 
 
 def stored(spark: SparkSession, sf_dir: str, table: str = "documents") -> Index:
     """The table's index with positions, built, written and opened at its first use in a session."""
     at = (spark.sparkContext.applicationId, f"{sf_dir}/{table}")
     if at not in _BUILT:
-        path = f"{work_dir(spark)}/lexispark-index-{uuid.uuid4().hex}"
+        path = work_path(spark, "index")
         save_index(build_index(corpus(spark, sf_dir, table), positions=True), path)
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
         _BUILT[at] = open_index(spark, path)
     return _BUILT[at]
 
@@ -257,10 +258,8 @@ SELECT term, block, CAST(norm AS BIGINT) AS norm, CASE WHEN nth = 24 THEN top EL
 
 def index_roundtrip_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds, writes, verifies and opens an index of its own, and searches it."""
-    path = f"{work_dir(spark)}/lexispark-roundtrip-{uuid.uuid4().hex}"
+    path = work_path(spark, "roundtrip")
     save_index(build_index(corpus(spark, sf_dir)), path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     verify(spark, path)
     return Searcher(open_index(spark, path)).top(_OR, 10)
 
@@ -269,31 +268,146 @@ _add("index_roundtrip_search", index_roundtrip_search, ORACLE_SQL["search_or3"])
 
 
 def verify_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verify(spark, stored(spark, sf_dir).path)
-    return spark.createDataFrame([("ok",)], "result string")
+    """The rows of each table of a verified index."""
+    index = stored(spark, sf_dir)
+    verify(spark, index.path)
+    manifest = json.loads(spark.read.text(f"{index.path}/manifest").first().value)
+    return spark.createDataFrame([(name, table["rows"]) for name, table in manifest["tables"].items()], "name string, n_rows long")
 
 
-_add("verify_ok", verify_ok, "SELECT 'ok' AS result")
+_add(
+    "verify_ok",
+    verify_ok,
+    _DOCS + "SELECT 'docs' AS name, (SELECT count(*) FROM d) AS n_rows UNION ALL SELECT 'postings', (SELECT count(*) FROM p) UNION ALL SELECT 'terms', (SELECT count(*) FROM tm) UNION ALL SELECT 'stats', 1",
+)
 
 
-def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark passages through a tab-separated file and back."""
-    path = f"{work_dir(spark)}/lexispark-tsv-{uuid.uuid4().hex}"
+def _tabbed(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The benchmark passages as a tab-separated file."""
+    path = work_path(spark, name)
     rows = corpus(spark, sf_dir, "benchmark").where(F.size(tokenize(F.col("text"))) > 0)
     rows.select(F.concat("key", F.lit("\t"), F.regexp_replace("text", r"[\r\n]", " "))).write.text(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return tsv_corpus(spark, path).select(F.col("key"), "text")
+    return path
 
 
-_add("tsv_scan", tsv_scan, r"SELECT CAST(item_id AS VARCHAR) AS key, regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM benchmark")
+_ONE_LINE = r"regexp_replace(text, '[\r\n]', ' ', 'g') AS text FROM benchmark"
+_add("tsv_scan", lambda spark, sf: tsv_corpus(spark, _tabbed(spark, sf, "tsv")).select("key", "text"), f"SELECT CAST(item_id AS VARCHAR) AS key, {_ONE_LINE}")
+_add("query_file_scan", lambda spark, sf: query_file(spark, _tabbed(spark, sf, "queries")), f"SELECT CAST(item_id AS VARCHAR) AS qid, {_ONE_LINE}")
 _add(
     "number_rows",
-    lambda spark, sf: number_rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "nth").agg(F.count("*").alias("n"), F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.countDistinct("nth").alias("different")),
-    "SELECT count(*) AS n, 0 AS lo, count(*) - 1 AS hi, count(*) AS different FROM documents",
+    lambda spark, sf: number_rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").orderBy("doc_id"), "nth"),
+    "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM documents",
+)
+
+
+def caller_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of an index of the caller's own tokens, which keep their case and signs."""
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    return build_index(corpus(spark, sf_dir, "benchmark").select("doc", "key", words.alias("tokens"))).terms.select("term", "df", "max_tf")
+
+
+_add(
+    "caller_tokens",
+    caller_tokens,
+    """SELECT term, count(*) AS df, max(tf) AS max_tf FROM (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(string_split(text, ' ')) AS term FROM benchmark) WHERE term <> '' GROUP BY item_id, term) GROUP BY term""",
+)
+_add(
+    "term_order",
+    lambda spark, sf: stored(spark, sf).terms.select("term").orderBy("term").limit(100).select(F.row_number().over(Window.orderBy("term")).cast("long").alias("nth"), "term"),
+    _DOCS + "SELECT row_number() OVER (ORDER BY term) AS nth, term FROM tm ORDER BY term LIMIT 100",
+)
+_add(
+    "decoded_lengths",
+    lambda spark, sf: spark.range(70_001).select(F.col("id").alias("n"), decoded_length(length_norm(F.col("id").cast("int"))).cast("long").alias("q")),
+    ORACLE_SQL["quantized_lengths_range"],
+)
+
+
+def generated_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated corpus keeps to its limits and is the same each time."""
+    one, two = (generated_corpus(spark, 2000, 50, 3, 9, seed=4) for _ in range(2))
+    terms = one.select(F.explode("tokens").alias("t"))
+    return one.agg(F.count("*").alias("docs"), F.countDistinct("key").alias("keys"), F.min(F.size("tokens")).cast("long").alias("shortest"), F.max(F.size("tokens")).cast("long").alias("longest")).withColumns(
+        {"terms": F.lit(terms.distinct().count()), "changed": F.lit(one.exceptAll(two).count())}
+    )
+
+
+_add("generated_lengths", generated_lengths, "SELECT 2000 AS docs, 2000 AS keys, 3 AS shortest, 9 AS longest, 50 AS terms, 0 AS changed")
+
+
+def _outcome(run: Callable[[], object]) -> str:
+    try:
+        run()
+    except (ValueError, IndexError, OSError, NoPositionsError) as e:
+        return type(e).__name__
+    return "none"
+
+
+def _values_sql(rows: list[tuple[str, object]], columns: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(repr(r) for r in rows)}) v({columns})"
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What wrong queries and wrong use get."""
+    s = searcher(spark, sf_dir)
+    plain = Searcher(build_index(corpus(spark, sf_dir, "benchmark")))
+    tries = {
+        "empty term": lambda: Term(""),
+        "no clauses": lambda: And(),
+        "empty clause": lambda: Or("a", ""),
+        "nested clause": lambda: And("a", Or("b")),
+        "null clause": lambda: Or(None),
+        "empty phrase": lambda: Phrase(),
+        "k of zero": lambda: s.top(Term("the"), 0),
+        "negative k": lambda: s.top(Or("the", "of"), -1),
+        "no query": lambda: s.top(None, 1),
+        "unknown kind": lambda: s.top("the", 1),
+        "phrase without positions": lambda: plain.top(Phrase("of", "the"), 1),
+        "unknown document": lambda: s.doc_key(-1),
+        "good query": lambda: s.top(Or("the", "of"), 1),
+    }
+    return spark.createDataFrame([(name, _outcome(run)) for name, run in tries.items()], "attempt string, error string")
+
+
+_REFUSED = {"phrase without positions": "NoPositionsError", "unknown document": "IndexError", "good query": "none"}
+_add(
+    "refusals",
+    refusals,
+    _values_sql(
+        [(a, _REFUSED.get(a, "ValueError")) for a in ("empty term", "no clauses", "empty clause", "nested clause", "null clause", "empty phrase", "k of zero", "negative k", "no query", "unknown kind", *_REFUSED)], "attempt, error"
+    ),
 )
 
 
+def format_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What opening damaged indexes gets."""
+    manifest = json.loads(spark.read.text(f"{stored(spark, sf_dir).path}/manifest").first().value)
+    damaged = {
+        "other format": json.dumps(manifest | {"format": "other"}),
+        "other version": json.dumps(manifest | {"version": 99}),
+        "no table list": json.dumps({k: v for k, v in manifest.items() if k != "tables"}),
+        "no tables": json.dumps(manifest),
+        "not json": "???",
+    }
+    out = [("no folder", _outcome(lambda: open_index(spark, work_path(spark, "none"))))]
+    for name, text in damaged.items():
+        path = work_path(spark, "damaged")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/manifest")
+        out.append((name, _outcome(lambda p=path: open_index(spark, p))))
+    return spark.createDataFrame(out, "damage string, error string")
+
+
+_add("format_errors", format_errors, _values_sql([("no folder", "FileNotFoundError"), *((d, IndexFormatError.__name__) for d in ("other format", "other version", "no table list", "no tables", "not json"))], "damage, error"))
+
+
+def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {name: searcher(spark, sf_dir).search(query, 3) for name, query in COUNTS.items()}
+    return spark.createDataFrame([(name, f.total, f.exact) for name, f in found.items()], "name string, total long, exact boolean")
+
+
+_add("exact_totals", exact_totals, " UNION ALL ".join(f"SELECT '{name}' AS name, n AS total, true AS exact FROM ({_count_sql(query, _DOCS)})" for name, query in COUNTS.items()))
+
+
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     service = Service(spark, stored(spark, sf_dir).path, max_k=50)
     asked = [("license", 3, "or"), ("the license", 3, "AND"), ("of the", 2, "phrase"), ("the", 0, "or"), ("the", 51, "or"), ("the", 5, "xor"), (" !!! ??? ", 5, "or")]
@@ -301,9 +415,90 @@ def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(q, k, op, status, body.get("totalHits", -1)) for q, k, op, status, body in answers], "q string, k long, op string, status long, total long")
 
 
-_add("request_validation", request_validation)
+_add(
+    "request_validation",
+    request_validation,
+    f"""SELECT 'license' AS q, 3 AS k, 'or' AS op, 200 AS status, n AS total FROM ({_count_sql(Term("license"), _DOCS)})
+UNION ALL SELECT 'the license', 3, 'AND', 200, n FROM ({_count_sql(And("the", "license"), _DOCS)})
+UNION ALL SELECT 'of the', 2, 'phrase', 200, n FROM ({_count_sql(Phrase("of", "the"), _DOCS)})
+UNION ALL SELECT * FROM (VALUES ('the', 0, 'or', 400, -1), ('the', 51, 'or', 400, -1), ('the', 5, 'xor', 400, -1), (' !!! ??? ', 5, 'or', 400, -1), ('the', 5, 'or', 503, -1)) v""",
+)
+
+
+def search_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body of an answered request, a row for each hit."""
+    _, body = Service(spark, stored(spark, sf_dir).path).search("the LICENSE", 5, "And")
+    assert body["returned"] == len(body["hits"]) and body["totalHitsExact"]
+    rows = [(body["operator"], body["totalHits"], i, h["id"]) for i, h in enumerate(body["hits"], 1)]
+    return spark.createDataFrame(rows, "operator string, total long, rank long, id string")
+
+
+_LICENSED = And("the", "license")
+_add(
+    "search_request",
+    search_request,
+    f"SELECT 'and' AS operator, (SELECT n FROM ({_count_sql(_LICENSED, _DOCS)})) AS total, rank, key AS id FROM ({_top_sql(_LICENSED, 5, _DOCS)})",
+)
+
+
+def service_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    service = Service(spark, stored(spark, sf_dir).path)
+    (status, body), (health, _), (gone, _) = service.stats(), service.health(), Service(spark, "/nowhere/index").health()
+    return spark.createDataFrame([(status, health, gone, body["documents"], body["terms"], body["tokens"], body["fileBytes"] > 0)], "status long, health long, gone long, documents long, terms long, tokens long, bytes boolean")
+
+
+_add("service_stats", service_stats, _DOCS + "SELECT 200 AS status, 200 AS health, 503 AS gone, n AS documents, (SELECT count(*) FROM tm) AS terms, CAST(t AS BIGINT) AS tokens, true AS bytes FROM st")
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit code and first line of output of commands on an index of the benchmark passages."""
+    corpus_file, folder = _tabbed(spark, sf_dir, "corpus"), work_path(spark, "cli")
+    commands = [
+        ("index", corpus_file, folder, "--positions"), ("stats", folder), ("verify", folder), ("search", folder, "-k", "3", "the", "of"), ("search", folder, "--and", "the", "of"), ("search", folder, "--phrase", "of", "the"),
+        (), ("search", folder), ("search", folder, "-k", "x", "the"), ("search", folder, "--and", "--phrase", "the"), ("search", folder, "-k", "0", "the"), ("stats", "/nowhere/index"), ("index", "/nowhere/corpus", f"{folder}-2"),
+    ]
+    out = []
+    for nth, command in enumerate(commands):
+        text = io.StringIO()
+        with redirect_stdout(text), redirect_stderr(io.StringIO()):
+            code = main(list(command), spark)
+        out.append((nth, code, text.getvalue().split("\n")[0]))
+    return spark.createDataFrame(out, "nth long, code long, line string")
+
+
+_PASSAGES = _base("benchmark", "item_id")
+_hits = lambda query: f"'hits=' || (SELECT n FROM ({_count_sql(query, _PASSAGES)}))"
+_add(
+    "command_line",
+    command_line,
+    f"""SELECT 0 AS nth, 0 AS code, 'indexed ' || count(*) || ' documents' AS line FROM benchmark UNION ALL SELECT 1, 0, 'documents=' || count(*) FROM benchmark
+UNION ALL SELECT 2, 0, 'ok' UNION ALL SELECT 3, 0, {_hits(Or("the", "of"))} UNION ALL SELECT 4, 0, {_hits(And("the", "of"))} UNION ALL SELECT 5, 0, {_hits(Phrase("of", "the"))}
+UNION ALL SELECT * FROM (VALUES (6, 2, ''), (7, 2, ''), (8, 2, ''), (9, 2, ''), (10, 2, ''), (11, 1, ''), (12, 1, '')) v""",
+)
+
+
+def text_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that a search on the command line prints, line by line."""
+    text = io.StringIO()
+    with redirect_stdout(text):
+        main(["search", stored(spark, sf_dir).path, "-k", "5", "the", "and", "la"], spark)
+    lines = text.getvalue().splitlines()[1:]
+    return spark.createDataFrame([(i, line.split("\t")[0]) for i, line in enumerate(lines, 1)], "rank long, key string")
+
+
+_add("text_results", text_results, f"SELECT rank, key FROM ({_top_sql(_OR, 5, _DOCS)})")
+_add(
+    "shown_lengths",
+    lambda spark, sf: stored(spark, sf).docs.select(
+        "doc", display.grouped(F.col("dl") * 997).alias("grouped"), display.shown_bytes((F.col("dl") * 1024).cast("long")).alias("size"), display.score_share(F.col("dl"), F.lit(500.0)).alias("share")
+    ),
+    _DOCS
+    + """SELECT doc, format('{:,}', CAST(dl * 997 AS BIGINT)) AS grouped,
+CASE WHEN dl < 10 THEN printf('%.1f KB', CAST(dl AS DOUBLE)) WHEN dl < 1024 THEN printf('%.0f KB', CAST(dl AS DOUBLE)) WHEN dl < 10240 THEN printf('%.1f MB', dl / 1024.0::DOUBLE) ELSE printf('%.0f MB', dl / 1024.0::DOUBLE) END AS size,
+greatest(0.02::DOUBLE, least(1.0::DOUBLE, dl / 500.0::DOUBLE)) AS share FROM d""",
+)
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query: the ten best of a disjunction, from raw documents."""
-    return Searcher(build_index(corpus(spark, "/root/testdata/sf0.001"))).top(_OR, 10)
+    return Searcher(build_index(corpus(spark, sf_dir))).top(_OR, 10)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import Index, collection, dictionary
 
-FORMAT, VERSION = "lexispark-index", 1
+FORMAT, VERSION = "lexispark-index", 2
 TABLES = ("docs", "postings", "terms", "stats")
 
 
@@ -23,37 +23,51 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def checksum(table: DataFrame) -> tuple[int, int]:
+def _sums(table: DataFrame) -> list[Column]:
     """Row count and a hash of all rows that doesn't depend on their order."""
-    row = table.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*[F.to_json(F.struct(c)) if table.schema[c].dataType.typeName() == "map" else F.col(c) for c in table.columns])), F.lit(0)).alias("sum")).first()
-    return row.n, row["sum"]
+    return [F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*table.columns)), F.lit(0)).alias("sum")]
+
+
+def checksum(table: DataFrame) -> tuple[int, int]:
+    return tuple(table.agg(*_sums(table)).first())
 
 
 def save_index(index: Index, path: str, row_group_bytes: int = 16 << 20) -> None:
     """Writes the index; it appears under ``path`` only when it is complete.
 
-    Postings are range-partitioned and sorted by term and document, so that a lookup of some terms reads the row
-    groups whose bounds hold them, and a frequent term is spread over many files.
+    Texts are tokenised once, into a table of documents with their postings that is gone at the end; all others come
+    from it.  Postings are range-partitioned and sorted by term and document, so that a lookup of some terms reads the
+    row groups whose bounds hold them, and a frequent term is spread over many files; the ranges are sampled from that
+    table, not from the texts again.  Checksums are taken of the rows as they are written.
     """
-    spark = index.postings.sparkSession
+    spark = (index.forward or index.postings).sparkSession
     fs, where = _fs(spark, path)
     if fs.exists(where):
         raise FileExistsError(f"{path} exists; an index is written once")
-    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    draft, sums = f"{path}.{uuid.uuid4().hex}.tmp", {}
+    if index.forward is not None:
+        index.forward.write.parquet(f"{draft}.forward")
+        index = Index(forward=spark.read.parquet(f"{draft}.forward"), has_positions=index.has_positions)
 
     def put(name: str, table: DataFrame) -> DataFrame:
-        table.write.option("parquet.block.size", row_group_bytes).parquet(f"{draft}/{name}")
+        seen = Observation()
+        table = table.select(*Index.columns(name, index.has_positions))
+        written = table.observe(seen, *_sums(table)).write.option("parquet.block.size", row_group_bytes).option("parquet.writer.version", "v2").option("compression", "zstd")
+        written.parquet(f"{draft}/{name}")
+        sums[name] = (seen.get["n"], seen.get["sum"])
         return spark.read.parquet(f"{draft}/{name}")
 
     put("docs", index.docs)
     postings = put("postings", index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"))
-    # the dictionary of a new index is got from the postings just written, not from the texts again
-    terms = dictionary(postings, index.counted[0]) if index.counted else index.terms
+    # the dictionary of a new index is got from the postings just written
+    terms = dictionary(postings, index.counted[0]) if index.forward is not None else index.terms
     terms = put("terms", terms.repartitionByRange("term").sortWithinPartitions("term"))
-    put("stats", (collection(terms, index.counted) if index.counted else index.stats).coalesce(1))
-    sums = {name: checksum(spark.read.parquet(f"{draft}/{name}")) for name in TABLES}
+    put("stats", collection(terms, index.counted).coalesce(1))
     manifest = {"format": FORMAT, "version": VERSION, "positions": index.has_positions, "tables": {n: {"rows": r, "checksum": s} for n, (r, s) in sums.items()}}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{draft}/manifest")
+    out = fs.create(_fs(spark, f"{draft}/manifest/part-0.txt")[1])
+    out.write(bytearray(json.dumps(manifest), "utf-8"))
+    out.close()
+    fs.delete(_fs(spark, f"{draft}.forward")[1], True)
     if not fs.rename(_fs(spark, draft)[1], where):
         raise OSError(f"{draft} could not be moved to {path}")
 

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokenize
+from .shared import shared_dir
 
 
 def number_rows(df: DataFrame, name: str) -> DataFrame:
-    """Adds the 0-based number of each row in the order of its partitions, without gathering rows in one task.
+    """Adds the 0-based number of each row in the order of its partitions; rows stay where they are.
 
-    Only the partitions' counts meet; there are as many as partitions.
+    Only the partitions' counts meet; there are as many as partitions.  A plan with a shuffle is written first, as its
+    partitions need not be the same twice; those of a scan are.
     """
-    marked = df.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
-    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("__row")) - 1
-    return marked.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + own).cast("long")).drop("__part", "__row", "__n", "__before")
+    row, part = "__row_of_number_rows", "__part_of_number_rows"
+    marked = df.withColumn(row, F.monotonically_increasing_id())  # the partition's number, and 33 bits of the row's in it
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        folder, context = shared_dir(df.sparkSession), df.sparkSession.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir(folder)
+        marked = marked.checkpoint()
+    counts = marked.groupBy(F.shiftright(row, 33).alias(part)).agg(F.count("*").alias("n"))
+    before = counts.select(part, (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias("before"))
+    own = marked.withColumn(part, F.shiftright(row, 33)).join(F.broadcast(before.withColumnRenamed("before", f"{part}_before")), part)
+    number = F.col(f"{part}_before") + F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    return own.withColumn(name, number.cast("long")).select(*[c for c in df.columns if c != name], name)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.text(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no text at {path}") from e
 
 
 def _cut_at_tab(lines: DataFrame) -> DataFrame:
@@ -34,14 +51,14 @@ def tsv_corpus(spark: SparkSession, path: str) -> DataFrame:
     Lines without tokens are left out.  A line without a tab is all text, and its key is the number of documents
     before it.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = _lines(spark, path).where(F.trim("value") != "")
     found = _cut_at_tab(lines).where(F.size(tokenize(F.col("text"))) > 0)
     return number_rows(found, "doc").select("doc", F.coalesce("id", F.col("doc").cast("string")).alias("key"), "text")
 
 
 def query_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(qid, text) of the lines ``qid<TAB>query`` that have tokens; the first ``limit`` of them."""
-    found = _cut_at_tab(spark.read.text(path)).where(F.col("id").isNotNull() & (F.size(tokenize(F.col("text"))) > 0))
+    found = _cut_at_tab(_lines(spark, path)).where(F.col("id").isNotNull() & (F.size(tokenize(F.col("text"))) > 0))
     numbered = number_rows(found, "nth")
     kept = numbered if limit is None else numbered.where(F.col("nth") < limit)
     return kept.select(F.col("id").alias("qid"), "text")

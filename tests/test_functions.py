@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.functions import bm25, idf, length_norm, norm_inverse, normalize_term, quantized_length, tokenize, tokenize_text
+from lexispark.functions import bm25, decoded_length, display, idf, length_norm, norm_inverse, normalize_term, quantized_length, tokenize, tokenize_text
 
 
 def plain_tokens(text):
@@ -54,3 +54,18 @@ def test_scores(spark, n, df, tf, dl, average):
     ni = f(1) / (f(1.2) * (f(0.25) + f(0.75) * f(q) / f(average)))
     assert row.ni == pytest.approx(float(ni), rel=1e-7)
     assert row.s == pytest.approx(float(f(row.w) - f(row.w) / (f(1) + f(tf) * ni)), rel=1e-6)
+
+
+def test_decoded_length(spark):
+    wrong = spark.range(1, 70_000).select(F.col("id").cast("int").alias("n")).where(decoded_length(length_norm(F.col("n")).cast("short")) != quantized_length(F.col("n")))
+    assert wrong.count() == 0
+
+
+def test_display(spark):
+    rows = spark.createDataFrame([(0.0,), (9.94,), (10.0,), (999.4,), (1500.0,), (2048.0,), (1e5,), (1234567.0,), (3e13,)], "x double")
+    shown = rows.select(display.grouped(F.col("x").cast("long")), display.shown_score(F.col("x")), display.shown_millis(F.col("x")), display.shown_bytes(F.col("x"))).collect()
+    assert [r[0] for r in shown][-2:] == ["1,234,567", "30,000,000,000,000"] and shown[1][1] == "9.9400"
+    assert [r[2] for r in shown][:5] == ["0.0 ms", "9.9 ms", "10 ms", "999 ms", "1.50 s"]
+    assert [r[3] for r in shown] == ["0 B", "9 B", "10 B", "999 B", "1.5 KB", "2.0 KB", "98 KB", "1.2 MB", "27 TB"]
+    pairs = spark.createDataFrame([(5.0, 10.0), (0.01, 10.0), (11.0, 10.0), (1.0, 0.0), (float("nan"), 1.0), (1.0, float("inf")), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in pairs.select(display.score_share(F.col("a"), F.col("b"))).collect()] == [0.5, 0.02, 1.0, 0.0, 0.0, 0.0, 0.0]

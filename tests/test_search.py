@@ -5,9 +5,11 @@ import random
 import numpy as np
 import pytest
 
-from lexispark.operators import Searcher, build_index
+from lexispark.operators import Searcher, build_index, search, tables
 from lexispark.operators.search import NoPositionsError
 from lexispark.plans import And, Or, Phrase, Term
+from lexispark.sources import open_index, save_index
+from lexispark.sources.store import verify
 
 f = np.float32
 
@@ -115,6 +117,50 @@ def test_random_corpus(spark):
     assert sorted((r["rank"], r.doc) for r in batch if r.qid == 1) == one
 
 
-def test_empty_corpus(spark):
-    s = Searcher(index_of(spark, [("a", [])]))
-    assert s.top(Term("a"), 3).collect() == [] and s.count(Or("a", "b")) == 0
+def test_empty_corpus(spark, tmp_path):
+    index = build_index(spark.createDataFrame([(0, "a", "!!"), (1, "b", None)], "doc long, key string, text string"), positions=True)
+    s = Searcher(index)
+    assert s.top(Term("a"), 3).collect() == [] and s.count(Or("a", "b")) == 0 and s.search(Or("a", "b"), 2).total == 0
+    save_index(index, str(tmp_path / "ix"))
+    verify(spark, str(tmp_path / "ix"))
+    assert Searcher(open_index(spark, str(tmp_path / "ix"))).statistics().first().n_docs == 0
+
+
+def test_refused_documents(spark):
+    for tokens in ([], None, ["a", ""], ["a", None]):
+        with pytest.raises(Exception, match="a document has"):
+            Searcher(index_of(spark, [("a", ["x"]), ("b", tokens)])).count(Or("x", "y"))
+    for key in ("", None):
+        with pytest.raises(Exception, match="has no key"):
+            index_of(spark, [(key, ["x"])]).docs.collect()
+
+
+def test_pruned_disjunctions(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(f"d{i}", rng.choices(words, [1 / (i + 1) ** 2 for i in range(40)], k=rng.choice([2, 9, 40]))) for i in range(300)]
+    s = Searcher(index_of(spark, docs))
+    queries = [Or("w9", "w0", "w1"), Or("w20", "w0"), Or("w5", "w5", "w0"), Or("w30", "nope", "w2", "w0"), Or("w0", "w1")]
+    full = [s.top(q, 2).collect() for q in queries]
+    monkeypatch.setattr(search, "PRUNE_FROM", 0)
+    assert [s.top(q, 2).collect() for q in queries] == full
+
+
+def test_heavy_terms_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(search, "HEAVY", 20)
+    docs = [(f"d{i}", ["the"] * (1 + i % 3) + [f"w{i % 7}"]) for i in range(90)]
+    s = Searcher(index_of(spark, docs, positions=False))
+    queries = spark.createDataFrame([(1, "the w3"), (2, "w5"), (3, "the the"), (4, "")], "qid int, text string")
+    got = s.batch(queries, 6).collect()
+    for q, query in ((1, Or("the", "w3")), (2, Or("w5")), (3, Or("the", "the"))):
+        assert sorted((r["rank"], r.doc, r.score) for r in got if r.qid == q) == [(r["rank"], r.doc, r.score) for r in s.top(query, 6).collect()]
+    assert {r.qid for r in got} == {1, 2, 3}
+
+
+def test_frontier_numbers_postings(spark, monkeypatch):
+    monkeypatch.setattr(tables, "RANGES", 5)
+    docs = [(f"d{i}", ["the"] * (1 + i * 7 % 5) + ["rare"] * (i % 40 == 3)) for i in range(200)]
+    postings = index_of(spark, docs, positions=False).postings.cache()
+    got = sorted((r.term, r.nth, r.doc) for r in tables.numbered(postings).collect())
+    assert [g for g in got if g[0] == "the"] == [("the", i, i) for i in range(200)]
+    assert [g for g in got if g[0] == "rare"] == [("rare", i, 40 * i + 3) for i in range(5)]

@@ -5,10 +5,10 @@ from pathlib import Path
 
 import pytest
 
-from lexispark.app import Service, main
+from lexispark.app import Service, main, serve
 from lexispark.operators import Searcher, build_index
 from lexispark.plans import Or, Term
-from lexispark.sources import IndexFormatError, generated_corpus, generated_word, open_index, query_file, save_index, tsv_corpus
+from lexispark.sources import IndexFormatError, generated_corpus, generated_word, number_rows, open_index, query_file, save_index, tsv_corpus
 from lexispark.sources.store import verify
 
 TSV = "alpha-doc\tThe quick brown fox jumps over the lazy dog\n\nbeta-doc\ta quick brown dog outpaces a\tquick fox\n   !!!\ngamma-doc\tlorem ipsum dolor sit amet\nno tab here\n"
@@ -98,3 +98,30 @@ def test_generated(spark):
     flat = [t for r in rows for t in r.tokens]
     assert flat.count("a") > flat.count("k")
     assert Searcher(build_index(docs)).count(Term("a")) == sum("a" in r.tokens for r in rows)
+
+
+def test_number_rows(spark):
+    lines = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "n")
+    for df in (lines, lines.where("n % 3 = 0 or n > 600"), lines.repartitionByRange(5, "n"), lines.limit(0)):
+        got = number_rows(df, "nth").orderBy("n").collect()
+        assert [r.nth for r in got] == list(range(len(got)))
+    plan = number_rows(lines, "nth")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") == 1 and "hashpartitioning(n" not in plan
+
+
+def test_http(spark, stored):
+    from threading import Thread
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    server = serve(Service(spark, str(stored / "ix"), max_k=50), 0)
+    Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    body = json.loads(urlopen(f"{at}/search?q=quick+brown&k=1&op=PHRASE").read())
+    assert body["operator"] == "phrase" and body["returned"] == 1 and body["totalHits"] == 2
+    assert json.loads(urlopen(f"{at}/stats").read())["documents"] == 4 and urlopen(f"{at}/health").status == 200
+    for path, status in (("/search?q=a&k=0", 400), ("/search?q=a&k=x", 400), ("/search", 400), ("/other", 404)):
+        with pytest.raises(HTTPError) as refused:
+            urlopen(at + path)
+        assert refused.value.code == status
+    server.shutdown()
