@@ -18,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, cut, join_by_counts
+from .common import BLANKS, ascii_lower, cut, join_by_counts, others, spare
 
 #: Into how many ranges a single key can be cut.
 SALTS = 64
+#: Most documents with bitmaps, and runs in these, that are broadcast.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_RUNS = 500_000, 2_000_000
 ROW = "__row"
 
 
@@ -37,18 +39,20 @@ def row_hash(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), text)
 
 
-def sorted_lines(docs: DataFrame, min_length: int) -> DataFrame:
-    """(h1, h2, doc_id, row, pos, first) of each long line, range-partitioned and sorted.
+def hashed_lines(docs: DataFrame, min_length: int) -> DataFrame:
+    """(h1, h2, salt, doc_id, row, pos) of each long line."""
+    lines = docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias(ROW), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    keys = lines.where(F.length("line") >= min_length).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_length)
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("byte")
+    return keys.select(F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"), salt.alias("salt"), "doc_id", ROW, "pos")
+
+
+def sorted_lines(hashed: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, row, pos, first) of the hashed lines, range-partitioned and sorted.
 
     ``first`` is 1 for the first occurrence of a key in a document.  Its window streams over the ranges as they are; it
     would shuffle and sort again over rows that were written and read back.
     """
-    lines = docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias(ROW), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keys = lines.where(F.length("line") >= min_length).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_length)
-    hashed = keys.select(
-        F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id", ROW, "pos",
-    )
     ranges = hashed.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", F.desc_nulls_last("doc_id"), ROW, "pos")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy(F.desc_nulls_last("doc_id"), ROW, "pos")
     first = (F.row_number().over(stream) == 1) | ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(stream))
@@ -67,7 +71,8 @@ def keep_bitmaps(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Da
     ``keep_runs`` lists (start, length) of the runs of ones in the document's keep bitmap, the last one open-ended
     (length null).
     """
-    lines = cut(sorted_lines(docs, min_length), "lines")
+    hashed = cut(hashed_lines(docs, min_length), "hashes")  # the ranges are sampled from these, not from the texts again
+    lines = cut(sorted_lines(hashed), "lines")
     hot = cut(common_keys(lines, min_docs), "keys")
     dropped = join_by_counts(lines, hot, ["h1", "h2"], "n_rows").where(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     per_doc = dropped.groupBy("doc_id", ROW).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
@@ -76,12 +81,36 @@ def keep_bitmaps(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> Da
     return per_doc.select("doc_id", ROW, F.size("gone").cast("long").alias("n_dropped"), F.filter(runs, lambda r: r.length.isNull() | (r.length > 0)).alias("keep_runs"))
 
 
-def dedup(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with its lines dropped from ``text``, and ``n_lines`` (before), ``n_dropped``, ``keep_runs`` added."""
-    bitmaps = keep_bitmaps(docs, min_length, min_docs).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col(ROW), "n_dropped", "keep_runs")
-    rows = docs.drop("n_lines", "n_dropped", "keep_runs").withColumn("__id", F.coalesce("doc_id", F.lit(-1))).withColumn(ROW, row_hash(F.col("doc_id"), F.col("text")))
+def _deduped(docs: DataFrame, min_length: int, min_docs: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its lines dropped from text, and three more columns: lines before, lines dropped, runs kept; their names.
+
+    Texts stay where they lie unless the bitmaps are too many to broadcast.
+    """
+    id_, row, before, dropped, runs = (spare(docs, f"__{name}") for name in ("id", "row", "n_lines", "n_dropped", "keep_runs"))
+    found = keep_bitmaps(docs.select("doc_id", "text"), min_length, min_docs)
+    bitmaps = cut(found.select(F.coalesce("doc_id", F.lit(-1)).alias(id_), F.col(ROW).alias(row), F.col("n_dropped").alias(dropped), F.col("keep_runs").alias(runs)), "bitmaps")
+    held = bitmaps.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(runs)), F.lit(0)).alias("runs")).first()
+    few = held.rows <= MAX_BROADCAST_ROWS and held.runs <= MAX_BROADCAST_RUNS
+    rows = docs.withColumns({id_: F.coalesce("doc_id", F.lit(-1)), row: row_hash(F.col("doc_id"), F.col("text"))})
+    joined = rows.join(F.broadcast(bitmaps) if few else bitmaps, [id_, row], "left")
     lines = lines_of(F.col("text"))
-    kept = F.flatten(F.transform("keep_runs", lambda r: F.slice(lines, r.start + 1, F.coalesce(r.length, F.size(lines)))))
-    joined = rows.join(bitmaps, ["__id", ROW], "left")
-    text = F.when(F.col("keep_runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0).cast("long")), "text": text}).drop("__id", ROW)
+    kept = F.flatten(F.transform(runs, lambda r: F.slice(lines, r.start + 1, F.coalesce(r.length, F.size(lines)))))
+    text = F.when(F.col(runs).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumns({before: F.size(lines).cast("long"), dropped: F.coalesce(dropped, F.lit(0).cast("long")), "text": text})
+    return out.drop(id_, row), [before, dropped, runs]
+
+
+def dedup_text(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with its lines dropped from ``text`` and all else as it is."""
+    return _deduped(docs, min_length, min_docs)[0].select(*_quoted(docs.columns))
+
+
+def dedup(docs: DataFrame, min_length: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with its lines dropped from ``text``, and ``n_lines`` (before), ``n_dropped``, ``keep_runs`` in place of any such columns."""
+    names = ("n_lines", "n_dropped", "keep_runs")
+    out, found = _deduped(docs, min_length, min_docs)
+    return out.select(*_quoted(others(docs, names)), *[F.col(f).alias(n) for f, n in zip(found, names, strict=True)])
+
+
+def _quoted(names: list[str]) -> list[Column]:
+    return [F.col(f"`{n}`") for n in names]
