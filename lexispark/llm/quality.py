@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, others
 
 FEATURES, RIDGE, BINS, SEED = 384, 1e-3, 2000, 7
 #: Most labelled rows that are learned from; beyond, a sample of them by hash of the id.
@@ -122,38 +122,44 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = pa.array([statistics(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], [*keep, "stats"])
+            stats = pa.array([statistics(t.as_py()) for t in batch.column(len(keep))], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), stats], [*keep, "stats"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "stats array<double>"
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def _sums(rows: DataFrame, columns: list[str], f) -> dict[str, np.ndarray]:
-    """Adds up the named arrays that ``f(stats, labels, folds)`` gives for the batches of each of few partitions."""
+    """Adds up the named arrays that ``f(stats, labels, folds, times)`` gives for the batches of each of few partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                part = f(_matrix(batch), np.array(batch.column("label")), np.array(batch.column("fold")))
+                part = f(_matrix(batch), *(np.array(batch.column(c)) for c in ("label", "fold", "times")))
                 total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a, np.float64).tobytes()]) for a in total], columns)
 
-    parts = rows.mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).toPandas()
-    return {c: sum(np.frombuffer(x) for x in parts[c]) if len(parts) else np.zeros(0) for c in columns}
+    parts = rows.mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).toArrow()
+    return {c: sum(np.frombuffer(x) for x in parts[c].to_pylist()) if len(parts) else np.zeros(0) for c in columns}
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Model:
-    """Learns from ``labels`` (doc_id, label 0 or 1) of rows of ``stats`` (doc_id, stats) whose remainder isn't 1."""
-    wanted = labels.select("doc_id", "label").where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 1))
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from ``labels`` (doc_id, label 0 or 1) of rows of ``docs`` (doc_id, text) whose remainder isn't 1.
+
+    The labels learned from, at most about MAX_LABELLED, are broadcast to the documents; only of the texts that have
+    one are statistics computed, and these few rows are spread over MAX_PARTS partitions.
+    """
+    wanted = labels.select("doc_id", "label").where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id")) != 1)).groupBy("doc_id", "label").agg(F.count("*").cast("double").alias("times"))
+    wanted = cut(wanted, "labels")
     n = wanted.count()
     if n > MAX_LABELLED:
         wanted = wanted.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) < math.floor(MAX_LABELLED / n * (1 << 30)))
-    joined = stats.join(wanted, "doc_id").select("stats", F.col("label").cast("double").alias("label"), remainder(F.col("doc_id")).cast("double").alias("fold"))
-    rows = cut(joined.coalesce(MAX_PARTS), "labelled")
-    s = _sums(rows, ["n", "sum", "square"], lambda x, y, _: [np.array([len(x), y.sum()]), x.sum(0), (x * x).sum(0)])
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    found = found.select(F.col("label").cast("double").alias("label"), remainder(F.col("doc_id")).cast("double").alias("fold"), "times", "text")
+    rows = cut(with_statistics(found, ["label", "fold", "times"]).repartition(MAX_PARTS), "labelled")
+    s = _sums(rows, ["n", "sum", "square"], lambda x, y, _, w: [np.array([w.sum(), (w * y).sum()]), w @ x, w @ (x * x)])
     p, d = len(NAMES), FEATURES + 1
     if not len(s["n"]):
         return Model(np.zeros(p), np.ones(p), np.zeros(0), np.zeros(1), np.full(1, 0.5))
@@ -164,20 +170,21 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     if ones in (0, size):
         return model
 
-    def equations(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+    def equations(x: np.ndarray, y: np.ndarray, fold: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
         z = model.features(x)
-        return [m for k in (0, 2) for m in (z[fold == k].T @ z[fold == k], z[fold == k].T @ y[fold == k])]
+        weighted = z * times[:, None]
+        return [m for k in (0, 2) for m in (weighted[fold == k].T @ z[fold == k], weighted[fold == k].T @ y[fold == k])]
 
     e = _sums(rows, ["a0", "b0", "a2", "b2"], equations)
     a, b = {k: e[f"a{k}"].reshape(d, d) for k in (0, 2)}, {k: e[f"b{k}"] for k in (0, 2)}
     solve = lambda a, b: np.linalg.solve(a + RIDGE * max(1, np.trace(a) / d) * np.eye(d), b)
     other = {k: solve(a[2 - k], b[2 - k]) for k in (0, 2)}
 
-    def counts(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+    def counts(x: np.ndarray, y: np.ndarray, fold: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
         z = model.features(x)
         raw = np.where(fold == 0, z @ other[0], z @ other[2])
         at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
-        return [np.bincount(at, minlength=BINS), np.bincount(at, y, minlength=BINS)]
+        return [np.bincount(at, times, minlength=BINS), np.bincount(at, times * y, minlength=BINS)]
 
     c = _sums(rows, ["n", "ones"], counts)
     used = c["n"] > 0
@@ -187,32 +194,27 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(stats: DataFrame, model: Model) -> DataFrame:
-    """``stats`` with score and predicted in place of the statistics."""
-    kept = [c for c in stats.columns if c not in ("stats", "score", "predicted")]
+def _scores(model: Model):
+    @F.pandas_udf("double")
+    def of_text(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(NAMES))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.score(_matrix(batch)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+    return of_text
 
-    schema = "".join(f"`{c}` {stats.schema[c].dataType.simpleString()}, " for c in kept) + "score double, predicted int"
-    return stats.mapInArrow(run, schema)
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with score and predicted, each text read once, where it lies."""
+    scored = docs.select(*[F.col(f"`{c}`") for c in others(docs, ("score", "predicted"))], _scores(model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``; ``labels`` is (doc_id, label)."""
-    stats = cut(with_statistics(docs, ["doc_id"]), "statistics")
-    scored = score(stats, fit(stats, labels))
-    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+    docs = docs.select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
+    return score(docs, fit(docs, labels)).select("doc_id", held_out, "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject.  They are scored where they lie, without a shuffle."""
-    model = fit(cut(with_statistics(docs, ["doc_id"]), "statistics"), labels)
-
-    @F.pandas_udf("double")
-    def of_text(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(NAMES))))
-
-    return docs.where(of_text("text") >= 0.5)
+    return docs.where(_scores(fit(docs, labels))("text") >= 0.5)
