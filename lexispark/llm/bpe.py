@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
+
 #: Chunks that a worker remembers: half of them new, half from before.
 MEMO = 800_000
 #: A blank after white space and before white space or the end: there, chunks can't be told apart at blanks alone.
@@ -184,12 +186,13 @@ def map_texts(df: DataFrame, path: str, pattern: str, fields: dict[str, tuple[st
     The encoder (a vocabulary file and its perfect hash, of fixed size) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(encoder(path, pattern))
-    kept = [c for c in df.columns if c not in fields]
+    at = [c.lower() for c in df.columns].index("text")
+    kept = others(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
         for batch in batches:
-            rows = [f(enc, t) for t in batch.column("text").to_pylist()]
+            rows = [f(enc, t.as_py()) for t in batch.column(at)]
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + arrays, kept + list(fields))

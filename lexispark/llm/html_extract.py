@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
@@ -24,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import others
+
 _BLOCK = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th "
@@ -47,6 +50,9 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
+        #: Of each open element: its nearest block-level tag and the features of all that it lies in, deepest last.
+        self.within: list[tuple[str, dict[str, None]]] = []
+        self.open: Counter[str] = Counter()
         self.blocks: list[tuple[str, int, str, tuple[str, ...]]] = []
         self.parts: list[str] = []
         self.linked, self.links, self.skipped, self.place = 0, 0, 0, ("", ())
@@ -60,6 +66,8 @@ class Blocks(HTMLParser):
 
     def pop(self) -> None:
         tag, _ = self.stack.pop()
+        self.within.pop()
+        self.open[tag] -= 1
         self.skipped -= tag in _SKIP
         self.links -= tag == "a"
 
@@ -96,11 +104,15 @@ class Blocks(HTMLParser):
         names = {n for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for n in _NAME.findall(v.lower())}
         names |= {"hidden" for k, _ in attrs if k == "hidden"}
         self.stack.append((tag, tuple(sorted(names))))
+        inner, around = self.within[-1] if self.within else ("", {})
+        new = [f for f in (f"<{tag}", *(f".{n}" for n in self.stack[-1][1])) if f not in around]
+        self.within.append((tag if tag in _BLOCK else inner, around | dict.fromkeys(new) if new else around))
+        self.open[tag] += 1
         self.skipped += tag in _SKIP
         self.links += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
-        is_open = any(t == tag for t, _ in self.stack)
+        is_open = self.open[tag] > 0
         if tag in _BLOCK and (is_open or tag == "p"):  # an end without a start is nothing, but for a paragraph's
             self.flush()
         if tag == "br":
@@ -119,8 +131,8 @@ class Blocks(HTMLParser):
         if self.skipped or not data:
             return
         if not self.parts:
-            inner = next((t for t, _ in reversed(self.stack) if t in _BLOCK), "")
-            self.place = (inner, tuple(dict.fromkeys(f for t, names in self.stack for f in (f"<{t}", *(f".{n}" for n in names)))))
+            inner, around = self.within[-1] if self.within else ("", {})
+            self.place = (inner, tuple(around))
         self.parts.append(data)
         if self.links:
             self.linked += len(data.strip())
@@ -366,11 +378,11 @@ def main_text(html: str | None, model: Field) -> str:
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """``pages`` with text and n_chars got from html."""
     shared = pages.sparkSession.sparkContext.broadcast(model or field())
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
+    kept, at = others(pages, ("text", "n_chars")), [c.lower() for c in pages.columns].index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(html, shared.value) for html in batch.column("html").to_pylist()]
+            texts = [main_text(html, shared.value) for html in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
 
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["text string", "n_chars bigint"])

@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import others
+
 #: Chunks and pre-tokens whose counts a worker remembers.
 MEMO = 600_000
 _RAGGED = regex.compile(r"\s (?:\s|\Z)")
@@ -120,14 +122,14 @@ def _counter(scores: dict[bytes, float], pattern: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str, pattern: str, together: int = 1000) -> DataFrame:
     """``docs`` with n_pretokens and n_tokens; texts go through the trie ``together`` at a time."""
     names = ["n_pretokens", "n_tokens"]
-    kept = [c for c in docs.columns if c not in names]
+    kept, at = others(docs, names), [c.lower() for c in docs.columns].index("text")
     shared = docs.sparkSession.sparkContext.broadcast(Counter(path, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, together):
-                batch = whole.slice(at, together)
-                counts = shared.value.count(batch.column("text").to_pylist())
+            for first in range(0, whole.num_rows, together):
+                batch = whole.slice(first, together)
+                counts = shared.value.count(batch.column(at).to_pylist())
                 arrays = [pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], kept + names)
 
