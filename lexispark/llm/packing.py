@@ -2,10 +2,13 @@
 
 Documents are encoded and cut to the capacity once; what is packed are lengths.  Pieces are spread by hash over shards
 of about ``SHARD`` pieces, so that no task grows with the corpus.  Each shard is packed by several islands.  A
-chromosome is a set of bins; crossover injects whole well-filled bins of one parent into the other, drops the bins
-that hold an injected piece a second time and puts the displaced pieces where they fit best; mutation dissolves badly
-filled bins.  Between epochs every island gets the elite of its neighbour.  At the end the pieces of badly filled bins
-of all shards are pooled and packed once more.
+chromosome is a set of bins, its fitness how full they are.  Parents are chosen by tournament; crossover injects whole
+well-filled bins of one parent into the other and drops the bins that hold an injected piece a second time; mutation
+dissolves badly filled bins.  What is displaced by either is first exchanged against pieces of bins that have room
+left, one or two for one or two, where that fills them better, and then put where it fits best, the largest first.
+Between epochs every island gets the elite of its neighbour.  At the end the pieces of badly filled bins of all shards
+are pooled and packed once more.  A shard stops, after one generation at least, when a lower bound proves that no
+packing has fewer bins; ``report`` tells how each ended.
 
 Defined cases: null or empty text is one piece, the end token alone; rows are documents, also when they share a
 ``doc_id`` or have none; a piece as long as the capacity has a sequence of its own; an empty table gives an empty
@@ -18,6 +21,7 @@ import json
 import math
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +35,12 @@ from tokenizers import Tokenizer
 from .common import cut
 
 SHARD, ISLANDS, EPOCHS = 4096, 2, 2
-POPULATION, GENERATIONS = 4, 8
+POPULATION, GENERATIONS, TOURNAMENT = 8, 20, 3
+#: Displaced pieces for which exchanges are looked for at a time; others are put back by best fit.
+EXCHANGED = 200
 #: Bins filled to less than this share are pooled across shards and packed again.
 LOOSE = 0.98
-_SCHEMA = "shard long, island int, item long, length int, bin int, n_bins int, fitness double"
+_SCHEMA = "shard long, island int, item long, length int, bin int, n_bins int, fitness double, generations int, least int"
 
 
 class Tokens:
@@ -153,57 +159,114 @@ def decreasing(size: list[int], capacity: int, noise: float, rng: random.Random)
     return out
 
 
+def put_back(bins: list[list[int]], displaced: list[int], size: list[int], capacity: int, rng: random.Random) -> Packing:
+    """The bins with the displaced pieces: exchanges that fill a bin better first, then best fit, the largest first."""
+    out = Packing(capacity)
+    room = []
+    for items in bins:
+        left = capacity - sum(size[i] for i in items)
+        (room.append((left, items)) if left and displaced else out.add_bin(items, left))
+    rng.shuffle(displaced)
+    free, rest = sorted(displaced[:EXCHANGED], key=lambda i: size[i]), displaced[EXCHANGED:]
+    for left, items in room:
+        while left and (found := _exchange(items, left, free, size)):
+            given, taken = found
+            for i in given:
+                items.remove(i)
+            free = sorted([i for i in free if i not in taken] + list(given), key=lambda i: size[i])
+            items += taken
+            left = capacity - sum(size[i] for i in items)
+        out.add_bin(items, left)
+    out.best_fit(sorted(free + rest, key=lambda i: -size[i]), size)
+    return out
+
+
+def _exchange(items: list[int], left: int, free: list[int], size: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """Of one or two of ``items`` for one or two of ``free`` (ascending) the exchange that leaves least room, if any helps."""
+    lengths = [size[i] for i in free]
+    best, most = None, 0
+    singles = [(size[i], (i,)) for i in items]
+    pairs = [(size[i] + size[j], (i, j)) for k, i in enumerate(items) for j in items[:k]] if len(items) <= 12 else []
+    for out, given in (*singles, *pairs):
+        at = bisect_right(lengths, out + left) - 1
+        if at >= 0 and lengths[at] - out > most:
+            best, most = (given, (free[at],)), lengths[at] - out
+        lo, hi = 0, len(lengths) - 1
+        while lo < hi and most < left:  # two ends towards each other
+            gain = lengths[lo] + lengths[hi] - out
+            if gain > left:
+                hi -= 1
+            else:
+                if gain > most:
+                    best, most = (given, (free[lo], free[hi])), gain
+                lo += 1
+        if most == left:
+            break
+    return best
+
+
 def crossover(a: Packing, b: Packing, size: list[int], rng: random.Random) -> Packing:
-    """``a`` with whole well-filled bins of ``b``; some badly filled ones of ``a`` are dissolved as well."""
-    full = sorted(range(len(b.bins)), key=lambda k: b.left[k])[: max(1, len(b.bins) // 2)]
-    at = rng.randrange(len(full))
-    chosen = (full + full)[at : at + max(1, len(full) // 3)]
+    """``a`` with whole well-filled bins of ``b``."""
+    full = sorted(range(len(b.bins)), key=lambda k: b.left[k])[: max(1, len(b.bins) * 2 // 3)]
+    chosen = rng.sample(full, rng.randint(1, max(1, len(full) // 2)))
     injected = {i for k in chosen for i in b.bins[k]}
-    worst = {*sorted(range(len(a.bins)), key=lambda k: -a.left[k])[: 1 + rng.randrange(1 + len(a.bins) // 20)]}
-    out, displaced = Packing(a.capacity), []
-    for k in chosen:
-        out.add_bin([*b.bins[k]], b.left[k])
-    for k, items in enumerate(a.bins):
-        if k in worst or not injected.isdisjoint(items):
-            displaced += [i for i in items if i not in injected]
+    bins, displaced = [[*b.bins[k]] for k in chosen], []
+    for items in a.bins:
+        if injected.isdisjoint(items):
+            bins.append([*items])
         else:
-            out.add_bin([*items], a.left[k])
-    displaced.sort(key=lambda i: -size[i])
-    out.best_fit(displaced, size)
-    return out
+            displaced += [i for i in items if i not in injected]
+    return put_back(bins, displaced, size, a.capacity, rng)
+
+
+def mutated(a: Packing, size: list[int], rng: random.Random) -> Packing:
+    """``a`` with some of its bins dissolved, the badly filled ones rather."""
+    loose = [k for k, left in enumerate(a.left) if left]
+    gone = {*rng.sample(loose, min(len(loose), rng.randint(1, 3 + len(loose) // 10))), rng.randrange(len(a.bins))}
+    displaced = [i for k in gone for i in a.bins[k]]
+    return put_back([[*items] for k, items in enumerate(a.bins) if k not in gone], displaced, size, a.capacity, rng)
 
 
 def least_bins(size: list[int], capacity: int) -> int:
     """No packing has fewer bins: pieces above half need one each, and the rest fill at best what those leave."""
-    big = [s for s in size if 2 * s > capacity]
-    best = max(len(big), math.ceil(sum(size) / capacity))
-    order = sorted(size)
-    total = np.cumsum([0, *order])
-    for least in {s for s in order if 2 * s <= capacity}:
-        lo, hi = np.searchsorted(order, [least, capacity - least + 0.5])
-        best = max(best, len(order) - int(hi) + math.ceil((total[hi] - total[lo]) / capacity))
-    return best
+    order = np.sort(np.array(size, np.int64))
+    total = np.concatenate([[0], np.cumsum(order)])
+    big = int((2 * order > capacity).sum())
+    small = np.unique(order[2 * order <= capacity])
+    lo, hi = np.searchsorted(order, small), np.searchsorted(order, capacity - small, "right")
+    return int(max([big, -(-int(total[-1]) // capacity), *(len(order) - hi - (total[lo] - total[hi]) // capacity)]))
 
 
-def evolve(size: list[int], capacity: int, seeds: list[Packing], rng: random.Random) -> Packing:
-    """The best of a population after some generations; stops when no packing can have fewer bins."""
-    population = seeds or [decreasing(size, capacity, 0, rng)]
+def evolve(size: list[int], capacity: int, seeds: list[Packing], rng: random.Random, generations: int = GENERATIONS) -> tuple[Packing, int, int]:
+    """The best of a population after some generations, their number, and the least number of bins there can be.
+
+    Each generation has a crossover of two parents chosen by tournament and a mutation of one; the worst go.  It ends,
+    after one generation at least, when no packing can have fewer bins; seeds, which earlier generations left, may
+    prove that at once.
+    """
+    population = [*seeds] or [decreasing(size, capacity, 0, rng)]
     fit = lambda p: (-len(p.bins), p.fitness())
-    best = max(population, key=fit)
-    if len(best.bins) <= math.ceil(sum(size) / capacity):
-        return best
     least = least_bins(size, capacity)
-    while len(population) < POPULATION:
+    proven = min(len(p.bins) for p in population) <= least
+    if seeds and proven:  # which come from a generation
+        return max(population, key=fit), 0, least
+    many = 2 if proven else POPULATION
+    while len(population) < many:
         population.append(decreasing(size, capacity, 0.3 * len(population) / POPULATION, rng))
-    population.sort(key=fit, reverse=True)
-    for _ in range(GENERATIONS):
-        if len(population[0].bins) <= least:
+    ranked = sorted(((fit(p), i, p) for i, p in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
+    born = len(ranked)
+    choose = lambda: min(rng.sample(range(len(ranked)), min(TOURNAMENT, len(ranked))))
+    for done in range(1, generations + 1):
+        a, b = choose(), choose()
+        children = [crossover(ranked[a][2], ranked[b if b != a else (a + 1) % len(ranked)][2], size, rng), mutated(ranked[choose()][2], size, rng)]
+        for child in children:
+            if (f := fit(child)) not in {r[0] for r in ranked}:  # equal fitness is nearly always the same packing
+                ranked.append((f, born, child))
+                born += 1
+        ranked = sorted(ranked, key=lambda x: (x[0], -x[1]), reverse=True)[:POPULATION]
+        if len(ranked[0][2].bins) <= least:
             break
-        a, b = rng.sample(population, 2)
-        population.append(crossover(a, b, size, rng))
-        population.sort(key=fit, reverse=True)
-        population.pop()
-    return population[0]
+    return ranked[0][2], done, least
 
 
 def _epoch(rows: DataFrame, capacity: int, seed: int) -> DataFrame:
@@ -213,35 +276,44 @@ def _epoch(rows: DataFrame, capacity: int, seed: int) -> DataFrame:
         rng = random.Random(f"{seed} {key}")
         items = frame[["item", "length"]].drop_duplicates("item").sort_values("item")
         size = items["length"].astype(int).tolist()
-        place = {item: i for i, item in enumerate(items["item"])}
-        seeds = []
-        for _, own in frame[frame["origin"].notna()].groupby("origin", sort=True):
+        known, seeds = items["item"].to_numpy(), []
+        for origin in np.unique(frame["origin"].dropna()):
+            own = frame[frame["origin"] == origin].sort_values(["bin", "item"])
+            place, first = np.searchsorted(known, own["item"]), np.flatnonzero(np.diff(own["bin"], prepend=-1))
+            left = capacity - np.add.reduceat(own["length"].to_numpy(np.int64), first)
             elite = Packing(capacity)
-            for _, bin_ in own.groupby("bin", sort=True):
-                elite.add_bin([place[i] for i in bin_["item"]], capacity - int(bin_["length"].sum()))
+            for in_bin, r in zip(np.split(place, first[1:]), left.tolist(), strict=True):
+                elite.add_bin(in_bin.tolist(), r)
             seeds.append(elite)
-        found = evolve(size, capacity, seeds, rng)
+        found, generations, least = evolve(size, capacity, seeds, rng)
         bins = np.empty(len(size), np.int32)
         for b, own in enumerate(found.bins):
             bins[own] = b
-        return pd.DataFrame({"shard": key[0], "island": key[1], "item": items["item"].to_numpy(), "length": size, "bin": bins, "n_bins": len(found.bins), "fitness": found.fitness()})
+        generations += int(frame["generations"].max())
+        return pd.DataFrame({"shard": key[0], "island": key[1], "item": items["item"].to_numpy(), "length": size, "bin": bins, "n_bins": len(found.bins), "fitness": found.fitness(), "generations": generations, "least": least})
 
     return rows.groupBy("shard", "island").applyInPandas(island, _SCHEMA)
 
 
 def _pack(items: DataFrame, n: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
     """(shard, item, length, bin) of the best island of each shard."""
-    shards = math.ceil(n / SHARD)
+    shards = max(1, math.ceil(n / SHARD))
     spread = items.select("item", F.col("length").cast("int").alias("length"), F.pmod(F.xxhash64(F.lit(seed), "item"), F.lit(shards)).alias("shard"))
     none = F.lit(None).cast("int")
-    rows = spread.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(islands - 1))), "bin": none, "origin": none})
+    rows = spread.withColumns({"island": F.explode(F.sequence(F.lit(0), F.lit(islands - 1))), "bin": none, "origin": none, "generations": F.lit(0)})
     elites = _epoch(rows, capacity, seed)
     for epoch in range(1, epochs):
         targets = F.array_distinct(F.array("island", (F.col("island") + 1) % islands))
-        moved = elites.withColumns({"origin": F.col("island"), "to": F.explode(targets)})
-        elites = _epoch(moved.select("shard", F.col("to").alias("island"), "item", "length", "bin", "origin"), capacity, seed + epoch)
+        moved = elites.withColumns({"origin": F.col("island"), "to": F.explode(targets)})  # its own elite and its neighbour's
+        elites = _epoch(moved.select("shard", F.col("to").alias("island"), "item", "length", "bin", "origin", "generations"), capacity, seed + epoch)
     best = Window.partitionBy("shard", "item").orderBy("n_bins", F.desc("fitness"), "island")
-    return elites.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("shard", "item", "length", "bin")
+    return elites.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("shard", "item", "length", "bin", "n_bins", "generations", "least")
+
+
+def report(items: DataFrame, capacity: int = 2048, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 1) -> DataFrame:
+    """(shard, n_items, n_bins, least, generations) of the shards of items (item, length): how their packing ended."""
+    packed = _pack(items, items.count(), capacity, islands, epochs, seed)
+    return packed.groupBy("shard").agg(F.count("*").alias("n_items"), F.first("n_bins").alias("n_bins"), F.first("least").alias("least"), F.first("generations").alias("generations"))
 
 
 def pack(items: DataFrame, capacity: int = 2048, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 1) -> DataFrame:

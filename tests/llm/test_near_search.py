@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexispark.llm import ann_forest, minhash, search_wand
+from lexispark.llm import ann_forest, common, minhash, search_wand
 
 UP = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -52,7 +52,9 @@ def corpus():
     return [(i, t) for i, t in enumerate(rows)] + [(3, "another text of the same id"), (3, "another text of the same id"), (None, "copies of one text that fills a third of the rows in here")]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("light", [10_000, 5])
+def test_components(spark, monkeypatch, light):
+    monkeypatch.setattr(common, "LIGHT", light)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
     got = sorted(map(tuple, minhash.components(df).collect()), key=repr)
@@ -217,6 +219,27 @@ def test_neighbours(spark, monkeypatch, shard):
     assert hit / total >= 0.9 and {*got.query_id} == {*range(0, 900, 20)}
 
 
+def test_lengths_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (20, [1.0, 0.0, 0.0]), (21, [0.5, 3.0, 0.0]), (40, [7.0]), (3, [0.0, 0.0])]
+    got = ann_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    one, two = [(1, 0, 2.0), (2, 1, 1.0), (3, 1, 1.0)], [(1, 0, 2.0), (2, 1, 2.0), (3, 1, 2.0)]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == 0) == sorted(one + two)
+    assert [tuple(r) for r in got if r.query_id != 0] == [(20, 1, 21, 0.5)]
+
+
+def test_a_tenth_is_scored():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(100, 32))
+    for x in (rng.normal(size=(6000, 32)), centres[rng.integers(0, 100, 6000)] + 0.3 * rng.normal(size=(6000, 32))):
+        forest = ann_forest.Forest(np.arange(6000), np.arange(6000), x, np.sqrt((x * x).sum(1).max()) * 1.001)
+        found, hit = list(forest.search(np.arange(60), x[:60], 20)), 0
+        for q, (ids, _) in enumerate(found):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len({*ids.tolist()} & {*np.argsort(-s)[:20].tolist()})
+        assert hit / 1200 >= 0.9 and forest.scored <= 0.1 * 6000 * 60
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann_forest.search(df).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, -1.0)]

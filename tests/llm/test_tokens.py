@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -96,14 +97,83 @@ def test_genetic_beats_best_fit():
         a, b = rng.randint(380, 490), rng.randint(250, 290)
         size += [a, b, 1000 - a - b]
     first = packing.decreasing(size, 1000, 0, random.Random(1))
-    found = packing.evolve(size, 1000, [], random.Random(1))
-    assert packing.least_bins(size, 1000) == 60 <= len(found.bins) <= len(first.bins)
+    found, generations, least = packing.evolve(size, 1000, [], random.Random(1))
+    assert packing.least_bins(size, 1000) == least == 60 <= len(found.bins) <= 62 < len(first.bins) and generations == packing.GENERATIONS
     assert sorted(i for b in found.bins for i in b) == list(range(180))
     assert all(sum(size[i] for i in b) == 1000 - left >= 0 for b, left in zip(found.bins, found.left, strict=True))
     child = packing.crossover(first, packing.decreasing(size, 1000, 0.3, rng), size, rng)
     assert sorted(i for b in child.bins for i in b) == list(range(180)) and all(left >= 0 for left in child.left)
 
 
+def fewest(size, capacity):
+    """The least number of bins, by trying every place for each piece, the largest first."""
+    best = len(size)
+
+    def place(i, left):
+        nonlocal best
+        if len(left) >= best:
+            return
+        if i == len(size):
+            best = len(left)
+            return
+        for r in {*left}:
+            if r >= size[i]:
+                place(i + 1, [*left[: (k := left.index(r))], r - size[i], *left[k + 1 :]])
+        place(i + 1, [*left, capacity - size[i]])
+
+    size = sorted(size, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_small_cases_are_packed_best():
+    rng = random.Random(8)
+    for _ in range(60):
+        size = [rng.randint(5, 60) for _ in range(rng.randint(1, 11))]
+        found, generations, least = packing.evolve(size, 100, [], random.Random(2))
+        assert generations >= 1 and least <= len(found.bins) == fewest(size, 100)
+        assert sorted(i for b in found.bins for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 100 for b in found.bins)
+
+
+def test_islands_and_report(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 100)
+    rng = random.Random(3)
+    lengths = [n for _ in range(80) for a, b in [(rng.randint(380, 490), rng.randint(250, 290))] for n in (a, b, 1000 - a - b)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    rows = packing.report(items, capacity=1000).collect()
+    assert sum(r.n_items for r in rows) == 240 and all(r.least <= r.n_bins and r.generations >= 1 for r in rows)
+    first = packing.decreasing(lengths, 1000, 0, rng)
+    placed = packing.pack(items, 1000).toPandas()
+    assert placed.sequence_id.nunique() < len(first.bins) and sorted(placed.item) == list(range(240)) and placed.groupby("sequence_id").length.sum().max() <= 1000
+
+
+def test_pieces_by_brute_force(spark):
+    path, own = P.path("byte_bpe_50k.json"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(i, t, "x", 1) for i, t in enumerate([None, *texts(40, seed=4), long, "twice", "twice"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, PIECE string, Sequence_Id int")
+    expected = []
+    for i, t, *_ in rows:
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 0]
+        head = len(ids) % 64 or 64
+        for k, (a, z) in enumerate([(0, head), *((s, s + 64) for s in range(head, len(ids), 64))]):
+            expected.append((i, k, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())))
+    got = packing.pack_documents(df, path, P.PATTERN, capacity=64)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert sorted(tuple(r)[:5] for r in got.collect()) == sorted(expected)
+
+
+def test_clashing_names_long_texts_and_repeated_rows(spark, library):
+    long = " ".join(f"w{i} the" for i in range(60_000)) + "x" * 5000
+    rows = [(1, long, "a", 1), (1, long, "a", 1), (2, None, "b", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, TEXT string, N_Tokens string, Ids_SHA256 int")
+    one = bpe.round_trip(df, RANKS, P.PATTERN)
+    assert one.columns == ["doc_id", "TEXT", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(r.n_tokens for r in one.collect()) == [0, *[len(library.encode_ordinary(long))] * 2]
+    two = token_counts.count_tokens(df, RANKS, P.PATTERN)
+    assert two.columns == ["doc_id", "TEXT", "Ids_SHA256", "n_pretokens", "n_tokens"] and len({r.n_tokens for r in two.collect() if r.doc_id == 1}) == 1
+
+
 def test_pack_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 40)
     rng = random.Random(5)
