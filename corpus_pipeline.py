@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality classifier, line dedup, near-dedup, packing, each over all that the one before kept."""
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, packing, each over all that the one before kept.
+
+Defined cases: null text is empty, and judged like any; it is empty text after line dedup, is linked with nothing by
+near-dedup, and packs as the end token alone; a document that loses all its lines stays, empty; rows that share an id
+are judged each by its text, keep or lose a line together, and one of them is left by near-dedup; rows without an id
+stay; other columns, whatever their names, pass all stages but the last; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
