@@ -148,3 +148,23 @@ def test_near_stage_counts_five_words(spark, tmp_path):
     rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate((loose, changed(loose), close, changed(close)))]
     kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    docs, labels = labelled(60, seed=6)
+    good = [d for d, (_, q, _) in zip(docs, labels, strict=True) if q][:20]
+    long = " ".join(f"word{i}" for i in range(30_000)).capitalize() + "."
+    rows = [(*d, 7, "u") for d in good] + [(500, None, "en", "s", 0, 7, "u"), (501, "", "en", "s", 0, 7, "u"), (None, good[0][1], "en", "s", 0, 7, "u"), (good[1][0], good[1][1], "en", "s", 0, 7, "u"), (502, long, "en", "s", 0, 7, "u")]
+    for name, some in (("odd", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, SCHEMA + ", N_Lines int, __row string").write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        lines = corpus_pipeline.line_stage(spark, docs, str(folder))
+        assert lines.columns == docs.columns and {(r.N_Lines, r["__row"]) for r in lines.collect()} == ({(7, "u")} if some else set())
+        packed = corpus_pipeline.run(spark, str(folder)).collect()
+        ids = [r.doc_id for r in packed if r.piece == 0]
+        if some:
+            assert 502 in ids and {i for i in ids if i is not None and i < 500} and ids.count(good[1][0]) <= 1 and sum(r.doc_id == 502 for r in packed) > 10
+        else:
+            assert packed == []
