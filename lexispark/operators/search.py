@@ -15,8 +15,9 @@ from .tables import Index
 MAX_BROADCAST_DOCS = 1_000_000
 #: Disjunctions over fewer postings are scored in full: one job more to find a threshold costs more than it saves.
 PRUNE_FROM = 1_000_000
-#: A term with more than one of HEAVY tokens is joined over SALTS ranges of documents; there are fewer than HEAVY such terms.
-HEAVY, SALTS = 2048, 64
+#: A term that has more than one of HEAVY rows of a batch's join, and more than LIGHT, is joined over SALTS ranges of
+#: documents; there are fewer than HEAVY such terms.
+HEAVY, LIGHT, SALTS = 2048, 10_000_000, 64
 #: Up to so many hits search() takes to the driver, with the count from the same matches.
 MAX_HITS = 10_000
 
@@ -202,12 +203,17 @@ class Searcher:
         return weight * (1 - 1 / (1 + max_tf / (1.2 * (0.25 + 0.75 * length / max(1e-9, self.index.counted[2])))))
 
     def _joined(self, postings: DataFrame, clauses: DataFrame) -> DataFrame:
-        """``postings`` with the ``clauses`` (rows with a term) of their terms.
+        """``postings`` with the ``clauses`` of their terms.
 
-        Clauses of heavy terms are repeated for each of SALTS ranges of documents, so that no task holds all postings of
+        Clauses (rows with a term and its df) of heavy terms are repeated for each of SALTS ranges of documents, so that no task holds all postings of
         such a term.
         """
-        heavy = F.broadcast(self.index.terms.where(F.col("df") * HEAVY > self.index.counted[1]).select("term"))
+        rows = clauses.groupBy("term").agg((F.count("*") * F.max("df")).alias("rows"))
+        counted = rows.agg(F.sum("rows").alias("total"), F.max("rows").alias("most")).first()
+        least = max(LIGHT, (counted.total or 0) // HEAVY)
+        if (counted.most or 0) <= least:
+            return postings.join(clauses, "term")
+        heavy = F.broadcast(rows.where(F.col("rows") > least).select("term"))
         salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")
         big = postings.join(heavy, "term", "left_semi").select("*", salt)
         many = clauses.join(heavy, "term", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -222,7 +228,7 @@ class Searcher:
         """
         terms = F.col("terms") if "terms" in queries.columns else tokenize(F.col("text"))
         clauses = queries.select("qid", terms.alias("terms")).select("qid", F.size("terms").alias("clauses"), F.explode("terms").alias("term"))
-        weighted = clauses.groupBy("qid", "clauses", "term").agg(F.count("*").alias("times")).join(self.index.terms.select("term", "idf"), "term")
+        weighted = clauses.groupBy("qid", "clauses", "term").agg(F.count("*").alias("times")).join(self.index.terms.select("term", "df", "idf"), "term")
         parts = self._scored(self._joined(self.index.postings.select("term", "doc", "tf", "norm"), weighted), F.col("idf"))
         scored = parts.groupBy("qid", "clauses", "doc").agg(F.sum(F.col("part").cast("double") * F.col("times")).cast("float").alias("score"), F.sum("times").alias("n"))
         if mode == "and":

@@ -147,7 +147,7 @@ def test_pruned_disjunctions(spark, monkeypatch):
 
 
 def test_heavy_terms_are_salted(spark, monkeypatch):
-    monkeypatch.setattr(search, "HEAVY", 20)
+    monkeypatch.setattr(search, "LIGHT", 50)
     docs = [(f"d{i}", ["the"] * (1 + i % 3) + [f"w{i % 7}"]) for i in range(90)]
     s = Searcher(index_of(spark, docs, positions=False))
     queries = spark.createDataFrame([(1, "the w3"), (2, "w5"), (3, "the the"), (4, "")], "qid int, text string")
