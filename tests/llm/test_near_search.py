@@ -181,6 +181,50 @@ def test_blocks_are_skipped():
         assert scores == pytest.approx(np.sort(full)[::-1][:5]) and scores.tolist() == sorted(scores, reverse=True) and len({*ids.tolist()}) == 5
 
 
+def test_results_and_queries_do_not_grow_with_shards(spark, monkeypatch):
+    written = {}
+
+    def noted(df, name="table"):
+        written[name] = out = common.cut(df, name)
+        return out
+
+    monkeypatch.setattr(search_wand, "cut", noted)
+    monkeypatch.setattr(search_wand, "DOCS", 5)
+    monkeypatch.setattr(search_wand, "TOGETHER", 7)
+    monkeypatch.setattr(search_wand, "PIECE", 500)
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=30))) for i in range(600)]
+    queries = [(i, t) for i, t in rows[:40]] + [(1000 + i, t) for i, t in rows[:10]]  # equal queries among them
+    got = search_wand.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string"), 3).collect()
+    for q, best in brute_bm25(rows, queries, 3).items():
+        assert [r.doc_id for r in sorted(r for r in got if r.query_id == q)] == [i for _, i in best]
+    tasks, _ = search_wand._division(600, 600 * 30, spark.sparkContext.defaultParallelism)
+    assert written["found"].count() <= 50 * 3 * tasks < 50 * 3 * 600 / 5 and written["queries"].count() == 40
+    assert search_wand._division(10**9, 10**12, 6)[0] == 24
+
+
+def test_threshold_of_earlier_shards():
+    rng = random.Random(4)
+    hashes, docs = search_wand.Hasher(), search_wand.Gathered(4)
+    text = lambda: search_wand.forward(" ".join(rng.choices([f"w{i}" for i in range(500)], [1 / (j + 1) for j in range(500)], k=rng.choice((20, 60)))), hashes)
+    for i in range(2000):
+        length, top, terms, tfs = text()
+        docs.add(i, length, top, b"", b"", terms.tobytes(), search_wand.narrow(tfs))
+        for copy in range(300 * (i == 0)):
+            docs.add(9000 - copy, length, top, b"", b"", terms.tobytes(), search_wand.narrow(tfs))
+    shard = search_wand.Shard(docs, 40.0)
+    assert max(map(len, shard.ids)) <= 108 and [0, 8701, 8702, 8703] in [i[:4] for i in shard.ids]
+    queries = [(t, np.ones(len(t))) for _, _, t, _ in (text() for _ in range(30))]
+    full = shard.search(queries, 4)
+    floor = np.array([s[1] for _, s in full])
+    for (ids, scores), (few, high), least in zip(full, shard.search(queries, 4, floor), floor, strict=True):
+        keep = scores >= least
+        assert (few[: keep.sum()] == ids[keep]).all() and (high[: keep.sum()] == scores[keep]).all()
+    read, shard.read = shard.read, 0
+    assert read and not any(len(i) for i, _ in shard.search(queries, 4, floor * 100)) and not shard.read
+
+
 @pytest.mark.parametrize("shard", [32_768, 60, 25])
 def test_copies_in_several_shards(spark, monkeypatch, shard):
     monkeypatch.setattr(search_wand, "DOCS", shard)
