@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_counts
+from .common import cut, join_by_counts, tidy, written
 
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
@@ -39,6 +39,8 @@ LEADERS = 256
 SALTS = 64
 #: Most ids that are broadcast; more are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Most edges whose components one task finds in memory.
+MAX_EDGES = 1_000_000
 #: Bytes of text hashed at a time; a longer document is a slice of its own.
 SLICE = 1 << 20
 
@@ -180,7 +182,7 @@ def _sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
             arrays = [ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, n long, s1 long, s2 long, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,15 +207,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 linked.append(inter > 0 and 100 * inter >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    return both.mapInArrow(tidy(run), "a long, b long, linked boolean")
+
+
+def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All vertices of the edges (a, b), and the smallest that each reaches."""
+    v, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(v))
+    while True:
+        low, new = np.minimum(label[x], label[y]), label.copy()
+        for at in (label[x], label[y]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return v, v[label]
+        label = new
+
+
+def _connected_in_one(edges: DataFrame) -> DataFrame:
+    """connected() by one task, for few edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(np.array(batch.column("a")), np.array(batch.column("b"))) for batch in batches if batch.num_rows]
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in components_of(*map(np.concatenate, zip(*ends, strict=True)))], ["v", "label"])
+
+    return cut(edges.select("a", "b").coalesce(1).mapInArrow(tidy(run), "v long, label long"), "labels")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex reachable over the edges (a, b), for every vertex of an edge.
 
     Each round a vertex takes the least label around it, then its label's label; hot vertices and labels are joined by
-    their counts.  Every round is a written table.
+    their counts.  Every round is a written table.  Up to MAX_EDGES, one task does it all, which spares the driver dozens
+    of plans.
     """
+    if [edges.schema[c].dataType.simpleString() for c in "ab"] == ["bigint", "bigint"] and edges.limit(MAX_EDGES + 1).count() <= MAX_EDGES:
+        return _connected_in_one(edges)
     ends = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "ends")
     labels = cut(ends.groupBy("v").agg(F.count("*").alias("degree"), F.least(F.min("w"), F.first("v")).alias("label")), "labels")
     while True:
@@ -247,7 +279,10 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
     texts = cut(docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi"), "texts")
     member = member.select("bucket", "doc_id", "n", F.lit(False).alias("done")).unionByName(member.where("doc_id = head.doc_id and n = head.n").select("bucket", "doc_id", "n", F.lit(True).alias("done")))
     member = cut(member.groupBy("bucket", "doc_id", "n").agg(F.max("done").alias("done")).where("not done").drop("done"), "rest")
-    seen = fresh_seen = cut(_verified(pairs, texts, width, percent), "verified")
+    verified = _verified(pairs, texts, width, percent)
+    paths = [written(verified, "verified")]
+    read = verified.sparkSession.read.schema(verified.schema).parquet  # one scan, however many rounds have written
+    seen = fresh_seen = read(*paths)
     labels = None
     while True:
         found = seen.where("linked").select("a", "b")
@@ -264,9 +299,10 @@ def links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[D
         met = active.join(heads, "bucket").where((F.col("label") != F.col("head_label")) & alike(F.col("n"), F.col("head.n")))
         wanted = met.select(F.least("doc_id", "head.doc_id").alias("a"), F.greatest("doc_id", "head.doc_id").alias("b")).distinct()
         fresh = cut(wanted.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        fresh_seen = cut(_verified(fresh, texts, width, percent), "verified") if fresh.limit(1).count() else None
-        if fresh_seen is not None:
-            seen = seen.unionByName(fresh_seen)
+        fresh_seen = None
+        if fresh.limit(1).count():
+            paths.append(written(_verified(fresh, texts, width, percent), "verified"))
+            fresh_seen, seen = read(paths[-1]), read(*paths)
         used = heads.select("bucket", "head.doc_id", "head.n")
         member = cut(active.select("bucket", "doc_id", "n").join(used, ["bucket", "doc_id", "n"], "left_anti"), "rest")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut
+from .common import cut, tidy
 
 SHARD, ISLANDS, EPOCHS = 4096, 2, 2
 POPULATION, GENERATIONS, TOURNAMENT = 8, 20, 3
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("item", F.monotonically_increasing_id())
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema).withColumn("item", F.monotonically_increasing_id())
 
 
 class Packing:

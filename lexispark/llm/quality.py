@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, others
+from .common import cut, give_back, others, tidy
 
 FEATURES, RIDGE, BINS, SEED = 384, 1e-3, 2000, 7
 #: Most labelled rows that are learned from; beyond, a sample of them by hash of the id.
@@ -126,7 +126,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), stats], [*keep, "stats"])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "stats array<double>"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(tidy(run), schema)
 
 
 def _sums(rows: DataFrame, columns: list[str], f) -> dict[str, np.ndarray]:
@@ -141,7 +141,7 @@ def _sums(rows: DataFrame, columns: list[str], f) -> dict[str, np.ndarray]:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a, np.float64).tobytes()]) for a in total], columns)
 
-    parts = rows.mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).toArrow()
+    parts = rows.mapInArrow(tidy(run), ", ".join(f"{c} binary" for c in columns)).toArrow()
     return {c: sum(np.frombuffer(x) for x in parts[c].to_pylist()) if len(parts) else np.zeros(0) for c in columns}
 
 
@@ -196,8 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _scores(model: Model):
     @F.pandas_udf("double")
-    def of_text(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(NAMES))))
+    def of_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()  # of what earlier stages freed in this worker
+        for texts in parts:
+            yield pd.Series(model.score(np.array([statistics(t) for t in texts], np.float64).reshape(len(texts), len(NAMES))))
+            give_back()
 
     return of_text
 

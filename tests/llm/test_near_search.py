@@ -75,6 +75,35 @@ def test_rows_of_one_id_are_one_node(spark):
         assert sorted(r.doc_id for r in minhash.dedup(df).collect()) == sorted({r.doc_id for r in judged if r.kept})
 
 
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_connected(spark, monkeypatch, most):
+    names = []
+    monkeypatch.setattr(minhash, "cut", lambda df, name="table": names.append(name) or common.cut(df, name))
+    monkeypatch.setattr(minhash, "MAX_EDGES", most)
+    rng = random.Random(9)
+    order = rng.sample(range(-50, 10**12, 10**9), 300)
+    edges = [*zip(order[:60], order[1:60]), *((order[100], x) for x in order[101:150]), (order[200], order[201]), (order[201], order[200]), (order[250], order[250])]  # chain, star, pair, loop
+    got = minhash.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    expected = {v: min(part) for part in (order[:60], order[100:150], order[200:202], order[250:251]) for v in part}
+    assert len(got) == len(expected) and {r.v: r.label for r in got} == expected
+    assert (names == ["labels"]) == (most > 3)
+    assert minhash.connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_freed_memory_is_returned():
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+    def run(batches):
+        rows = [bytes(2000 + i % 50) for i in range(150_000)]
+        kept.extend(rows[::1000])  # what stays lies between what goes
+        yield len(rows)
+
+    kept, before = [], held()
+    assert list(common.tidy(run)(iter(()))) == [150_000]
+    assert held() < before + 60  # of 300 MB
+
+
 def test_other_percents(spark):
     rng = random.Random(5)
     words = lambda n: [f"{rng.random()}" for _ in range(n)]
