@@ -28,11 +28,14 @@ def shown_millis(value: Column) -> Column:
 
 
 def shown_bytes(value: Column) -> Column:
-    """A size in the unit that leaves it below 1024; a tenth is shown below 10 of any unit but bytes."""
+    """A size in the unit that leaves it below 1024; a tenth is shown below 10 of any unit but bytes.
+
+    Halves go to the even digit, as in C and SQL; "%.1f" of Java would show 1.25 as 1.3.
+    """
     out = F.format_string("%d B", value.cast("long"))
     for power, unit in enumerate(_UNITS[1:], 1):
         scaled = value.cast("double") / float(1 << 10 * power)
-        text = F.when(scaled < 10, F.format_string(f"%.1f {unit}", scaled)).otherwise(F.format_string(f"%.0f {unit}", scaled))
+        text = F.when(scaled < 10, F.format_string(f"%.1f {unit}", F.bround(scaled, 1))).otherwise(F.format_string(f"%.0f {unit}", F.bround(scaled, 0)))
         out = F.when(value >= 1 << 10 * power, text).otherwise(out)
     return out
 

@@ -490,7 +490,7 @@ _add("text_results", text_results, f"SELECT rank, key FROM ({_top_sql(_OR, 5, _D
 _add(
     "shown_lengths",
     lambda spark, sf: stored(spark, sf).docs.select(
-        "doc", display.grouped(F.col("dl") * 997).alias("grouped"), display.shown_bytes((F.col("dl") * 1024).cast("long")).alias("size"), display.score_share(F.col("dl"), F.lit(500.0)).alias("share")
+        "doc", display.grouped(F.col("dl").cast("long") * 997).alias("grouped"), display.shown_bytes(F.col("dl").cast("long") * 1024).alias("size"), display.score_share(F.col("dl"), F.lit(500.0)).alias("share")
     ),
     _DOCS
     + """SELECT doc, format('{:,}', CAST(dl * 997 AS BIGINT)) AS grouped,

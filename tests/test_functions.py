@@ -69,3 +69,9 @@ def test_display(spark):
     assert [r[3] for r in shown] == ["0 B", "9 B", "10 B", "999 B", "1.5 KB", "2.0 KB", "98 KB", "1.2 MB", "27 TB"]
     pairs = spark.createDataFrame([(5.0, 10.0), (0.01, 10.0), (11.0, 10.0), (1.0, 0.0), (float("nan"), 1.0), (1.0, float("inf")), (None, 1.0)], "a double, b double")
     assert [r[0] for r in pairs.select(display.score_share(F.col("a"), F.col("b"))).collect()] == [0.5, 0.02, 1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_sizes_round_halves_to_even(spark):
+    kilobytes = [9, 10, 1280, 1290, 1792, 2304, 10239, 10240, 10752, 11776]
+    rows = spark.createDataFrame([(k << 10,) for k in kilobytes], "b long").select("b", display.shown_bytes(F.col("b")).alias("s")).collect()
+    assert [r.s for r in rows] == ["9.0 KB", "10 KB", "1.2 MB", "1.3 MB", "1.8 MB", "2.2 MB", "10.0 MB", "10 MB", "10 MB", "12 MB"]
