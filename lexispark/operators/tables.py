@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,8 @@ from ..functions import average_length, idf, length_norm, norm_inverse, quantize
 
 #: A corpus of less than this for each core is spread over the cores before its texts are read.
 SPREAD_BYTES = 128 << 20
-#: Into how many ranges of documents a term's postings are cut to number them.
-RANGES = 256
+#: Into how many ranges of documents the postings of a term with more than FREQUENT are cut to number them.
+RANGES, FREQUENT = 256, 500_000
 
 
 class Index:
@@ -144,19 +145,36 @@ def vocabulary(docs: DataFrame, limit: int | None = None) -> DataFrame:
     return first if limit is None else first.orderBy("first_doc", "first_pos").limit(limit)
 
 
+def _range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are less than the value, by two steps of as many comparisons as their root."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    less = lambda some: F.size(F.filter(some, lambda b: b < value))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    nth = less(F.array(*[F.lit(g[0]) for g in groups]))  # groups whose first bound is less; only the last of them can have others that aren't
+    last = F.get(F.array(*[F.array(*[F.lit(g[min(i, len(g) - 1)]) for i in range(step)]) for g in groups]), F.greatest(nth - 1, F.lit(0)))
+    return F.least(F.when(nth > 0, (nth - 1) * step + less(last)).otherwise(0), F.lit(len(bounds)))
+
+
 def numbered(postings: DataFrame) -> DataFrame:
     """``postings`` with ``nth``, the 0-based number of each among its term's, by document.
 
-    Documents are cut into RANGES ranges of about as many postings each; the numbers in a range start after the counts
-    of the ranges before it, so that no task orders all postings of a frequent term.
+    For terms with more than FREQUENT postings documents are cut into RANGES ranges of about as many postings each; the
+    numbers in a range start after the counts of the ranges before it, so that no task orders all postings of such a
+    term.  There are fewer such terms than postings by FREQUENT.
     """
+    often = F.broadcast(postings.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT).select("term", F.lit(True).alias("often")))
     shares = [i / RANGES for i in range(1, RANGES)]
-    bounds = postings.agg(F.percentile_approx("doc", F.array(*map(F.lit, shares)), 10_000).alias("b")).first().b or []
-    held = postings.withColumn("range", F.size(F.filter(F.array(*[F.lit(b) for b in sorted({*bounds})]), lambda b: b < F.col("doc"))) if bounds else F.lit(0))
-    counts = held.groupBy("term", "range").agg(F.count("*").alias("n"))
+    bounds = sorted({*(postings.join(often, "term", "left_semi").agg(F.percentile_approx("doc", F.array(*map(F.lit, shares)), 10_000).alias("b")).first().b or [])})
+    if not bounds:
+        return postings.withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("doc")) - 1)
+    ranged = F.when(F.col("often"), _range_of(F.col("doc"), bounds)).otherwise(-1)
+    counts = postings.join(often, "term").withColumn("range", _range_of(F.col("doc"), bounds)).groupBy("term", "range").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("term").orderBy("range")) - F.col("n")).drop("n")
     own = F.row_number().over(Window.partitionBy("term", "range").orderBy("doc")) - 1
-    return held.withColumn("own", own).join(before, ["term", "range"]).withColumn("nth", F.col("before") + F.col("own")).drop("range", "own", "before")
+    held = postings.join(often, "term", "left").withColumn("range", ranged).drop("often").withColumn("own", own)
+    return held.join(F.broadcast(before), ["term", "range"], "left").withColumn("nth", F.coalesce("before", F.lit(0)) + F.col("own")).drop("range", "own", "before")
 
 
 def impact_frontier(postings: DataFrame, block: int = 128, most: int = 24) -> DataFrame:
@@ -164,7 +182,8 @@ def impact_frontier(postings: DataFrame, block: int = 128, most: int = 24) -> Da
 
     At most ``most`` a block: the last then takes the block's largest tf.
     """
-    best = numbered(postings.select("term", "doc", "norm", "tf")).groupBy("term", F.floor(F.col("nth") / block).cast("long").alias("block"), "norm").agg(F.max("tf").alias("tf"))
+    blocks = numbered(postings.select("term", "doc", "norm", "tf")).select("term", F.floor(F.col("nth") / block).cast("long").alias("block"), "norm", "tf")
+    best = blocks.repartition("term", "block").groupBy("term", "block", "norm").agg(F.max("tf").alias("tf"))  # all that follows needs no other shuffle
     up = Window.partitionBy("term", "block").orderBy("norm")
     beaten = F.max("tf").over(up.rowsBetween(Window.unboundedPreceding, -1))
     kept = best.withColumn("before", beaten).where(F.col("before").isNull() | (F.col("tf") > F.col("before"))).drop("before")

@@ -174,3 +174,19 @@ def test_phrases_make_no_row_of_an_occurrence(spark):
         check(s, p, q, 8)
         plan = s.matches(q)._jdf.queryExecution().executedPlan().toString()
         assert "Generate" not in plan and ("Exchange" in plan.replace("BroadcastExchange", "")) == (len({*q.terms}) > 1)
+
+
+def test_frontier_cuts_frequent_terms_only(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FREQUENT", 50)
+    docs = [(f"d{i}", ["the"] * (1 + i * 7 % 5) + ["rare"] * (i % 40 == 3) + ["x"] * (i % 2)) for i in range(200)]
+    postings = index_of(spark, docs, positions=False).postings.cache()
+    for ranges in (5, 256):
+        monkeypatch.setattr(tables, "RANGES", ranges)
+        got = sorted((r.term, r.nth, r.doc) for r in tables.numbered(postings).collect())
+        assert got == sorted([("the", i, i) for i in range(200)] + [("rare", i, 40 * i + 3) for i in range(5)] + [("x", i, 2 * i + 1) for i in range(100)])
+
+
+def test_ranges_of_bounds(spark):
+    for bounds in ([], [5], [1, 2], [0, 7, 8, 20], list(range(0, 300, 3)), list(range(-50, 206))):
+        rows = spark.range(-60, 320).select("id", tables._range_of(F.col("id"), bounds).alias("r")).collect()
+        assert all(r.r == sum(b < r.id for b in bounds) for r in rows)
