@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,12 @@ from ..functions import average_length, idf, length_norm, norm_inverse, quantize
 
 #: A corpus of less than this for each core is spread over the cores before its texts are read.
 SPREAD_BYTES = 128 << 20
+#: Tokens whose postings a worker makes at once, and postings in a packed chunk.
+TOGETHER, CHUNK = 1 << 20, 1 << 20
+#: Of so many pieces or more every so manyth posting is a sample for the ranges of a written index.
+SAMPLED, STRIDE = 64, 100
+#: Postings in a range, and so many at least where there are fewer ranges than cores.
+RANGE, SMALL = 1_500_000, 50_000
 #: Into how many ranges of documents the postings of a term with more than FREQUENT are cut to number them.
 RANGES, FREQUENT = 256, 500_000
 
@@ -54,8 +65,7 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        norm = length_norm(F.col("dl")).cast("short").alias("norm")
-        return self.forward.select("doc", norm, F.inline("postings")).select(*Index.columns("postings", self.has_positions))
+        return _flat(self.forward, self.has_positions).select(*Index.columns("postings", self.has_positions))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -95,23 +105,152 @@ def spread(docs: DataFrame) -> DataFrame:
 
 
 def forward(docs: DataFrame, positions: bool) -> DataFrame:
-    """(doc, key, dl, postings): of each document its terms in order, with counts and perhaps positions.
+    """(doc, key, dl, packed, sampled): ``packed`` of some documents has the postings of these and of those after them,
+    ``sampled`` every so manyth of them without counts.
 
-    A document's tokens are sorted and cut into runs in its own row, so that postings are shuffled once only, by term.
+    Tokens of many documents are numbered, sorted and cut into runs at once; postings stay packed, in chunks of about
+    CHUNK, until they are shuffled once, by term.
     """
     rows = tokenized(docs)
-    places = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))) if positions else F.col("tokens"))
-    rows = rows.select("doc", "key", "dl", places.alias("places"))
-    term = lambda i: F.get("places", i)["term"] if positions else F.get("places", i)
-    begins = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
-    rows = rows.withColumn("begins", begins)
-    length = lambda b, j: F.coalesce(F.get("begins", j + 1), F.col("dl")) - b
-
-    def posting(b: Column, j: Column) -> Column:
-        found = [term(b).alias("term"), length(b, j).cast("long").alias("tf")]
-        return F.struct(*found, *[F.slice("places", b + 1, length(b, j))["pos"].alias("positions")] * positions)
-
-    return rows.select("doc", "key", "dl", F.transform("begins", posting).alias("postings"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _pieces(batch):
+                own = [some.column(c) for c in ("doc", "key", "dl")]
+                found, rest = _postings(own[0], own[2], some.column("tokens"), positions), [None] * (some.num_rows - 1)
+                sampled = _plain(found.select(["term", "doc"]).take(pa.array(np.arange(7, max(8, found.num_rows), STRIDE) % found.num_rows)))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([_chunks(x), *rest], pa.list_(pa.binary())) for x in (found, sampled))], ["doc", "key", "dl", "packed", "sampled"])
+
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc", "key", "dl"))
+    return rows.mapInArrow(run, f"{kept}, packed array<binary>, sampled array<binary>")
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about TOGETHER tokens, or a single document that has more."""
+    ends = np.cumsum(np.asarray(batch.column("dl"), np.int64))
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _postings(doc: pa.Array, dl: pa.Array, tokens: pa.ListArray, positions: bool) -> pa.RecordBatch:
+    """(term, doc, dl, tf) of lists of tokens, by document and term, perhaps with the places in the list."""
+    lengths = np.asarray(dl, np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    by = np.asarray(pc.sort_indices(coded.dictionary), np.int64)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    keys = np.repeat(np.arange(len(lengths)) << 32, lengths) | rank[np.asarray(coded.indices)]
+    order = np.argsort(keys, kind="stable") if positions else None
+    keys = keys[order] if positions else np.sort(keys)
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    of, term = pa.array(keys[begins] >> 32), pa.array((keys[begins] & 0xFFFFFFFF).astype(np.int32))
+    out = {"term": pa.DictionaryArray.from_arrays(term, coded.dictionary.take(pa.array(by))), "doc": doc.take(of), "dl": dl.take(of), "tf": pa.array(np.diff(np.append(begins, len(keys))))}
+    if positions:
+        places = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        out["positions"] = pa.ListArray.from_arrays(pa.array(np.append(begins, len(keys)), pa.int32()), pa.array(places[order], pa.int32()))
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _chunks(batch: pa.RecordBatch) -> list[bytes]:
+    out = []
+    for i in range(0, batch.num_rows, CHUNK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch.slice(i, CHUNK))
+        out.append(sink.getvalue().to_pybytes())
+    return out
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of the last column."""
+    for batch in batches:
+        for chunks in batch.column(batch.num_columns - 1):
+            for chunk in chunks.values if chunks.is_valid else ():
+                yield pa.ipc.open_stream(chunk.as_buffer()).read_next_batch()
+
+
+def _plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+    at = batch.schema.get_field_index("term")
+    return batch.set_column(at, "term", batch.column(at).dictionary_decode())
+
+
+def _flat_schema(rows: DataFrame, positions: bool) -> str:
+    return f"term string, doc {rows.schema['doc'].dataType.simpleString()}, dl int, tf bigint" + ", positions array<int>" * positions
+
+
+def _with_norm(postings: DataFrame) -> DataFrame:
+    return postings.withColumn("norm", length_norm(F.col("dl")).cast("short"))
+
+
+def _flat(rows: DataFrame, positions: bool) -> DataFrame:
+    """The postings packed in forward ``rows``."""
+    return _with_norm(rows.select("packed").where("packed is not null").mapInArrow(lambda batches: map(_plain, _unpacked(batches)), _flat_schema(rows, positions)))
+
+
+def _parts(batch: pa.RecordBatch, terms: list[str], docs: np.ndarray) -> np.ndarray:
+    """Of each posting how many of the bounds (term, doc), in order, are no later."""
+    words, code, doc = batch.column("term").dictionary.to_pylist(), np.asarray(batch.column("term").indices), np.asarray(batch.column("doc"))
+    least, most = (np.array([cut(terms, w) for w in words], np.int32) for cut in (bisect_left, bisect_right))
+    part = least[code]
+    for w in np.flatnonzero(most > least):  # terms that are themselves cut, by document
+        here = np.flatnonzero(code == w)
+        part[here] += np.searchsorted(docs[least[w] : most[w]], doc[here], "right").astype(np.int32)
+    return part
+
+
+def _merged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` as one, sorted by term and document."""
+    table = pa.Table.from_batches(batches).unify_dictionaries().combine_chunks()
+    term = table.column("term").chunk(0)
+    rank = np.empty(len(term.dictionary), np.int32)
+    rank[np.asarray(pc.sort_indices(term.dictionary))] = np.arange(len(rank), dtype=np.int32)
+    order = np.lexsort((np.asarray(table.column("doc").chunk(0)), rank[np.asarray(term.indices)]))
+    for i in range(0, len(order), CHUNK):
+        yield from map(_plain, table.take(pa.array(order[i : i + CHUNK])).combine_chunks().to_batches())
+
+
+def placed(rows: DataFrame, positions: bool, tokens: int) -> DataFrame:
+    """The postings of written forward ``rows``, range-partitioned and sorted by term and document.
+
+    The ranges are of about as many postings each, got from a sample of some of the packed pieces; there are ``tokens``
+    tokens in all.  What a piece has of a range is shuffled as one packed row.
+    """
+    every = max(1, tokens // TOGETHER // SAMPLED)
+    packed = rows.where("packed is not null")
+    taken = rows.where(F.col("sampled").isNotNull() & (F.pmod(F.xxhash64("doc"), F.lit(every)) == 0)).select("sampled")
+    sample = taken.mapInArrow(_unpacked, f"term string, doc {rows.schema['doc'].dataType.simpleString()}").toArrow()
+    keys = sorted(zip(sample["term"].to_pylist(), sample["doc"].to_pylist(), strict=True))
+    postings, cores = len(keys) * STRIDE * every, rows.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, -(-postings // RANGE), min(cores, postings // SMALL))
+    bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+    terms, docs = [t for t, _ in bounds], np.array([d for _, d in bounds], np.int64)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _unpacked(batches):
+            part = _parts(batch, terms, docs)
+            batch, part = batch.take(pa.array(by := np.argsort(part, kind="stable"))), part[by]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            chunks = [_chunks(_narrow(batch.slice(a, z - a))) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(chunks, pa.list_(pa.binary()))], ["part", "packed"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(_unpacked(batches)):
+            yield from _merged(held)
+
+    spread = packed.select("packed").mapInArrow(split, "part int, packed array<binary>").repartitionById(len(bounds) + 1, F.col("part"))
+    return _with_norm(spread.mapInArrow(merge, _flat_schema(rows, positions)))
+
+
+def _narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``batch`` with those terms in its dictionary that lie from its first to its last."""
+    at = batch.schema.get_field_index("term")
+    code, words = np.asarray(batch.column(at).indices), batch.column(at).dictionary
+    first = int(code.min())
+    return batch.set_column(at, "term", pa.DictionaryArray.from_arrays(pa.array(code - first), words.slice(first, int(code.max()) - first + 1)))
 
 
 def statistics(rows: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import Index, collection, dictionary
+from ..operators.tables import Index, collection, dictionary, placed
 
 FORMAT, VERSION = "lexispark-index", 2
+HASH = "__hash_of_row"
 TABLES = ("docs", "postings", "terms", "stats")
 
 
@@ -52,13 +53,16 @@ def save_index(index: Index, path: str, row_group_bytes: int = 16 << 20) -> None
     def put(name: str, table: DataFrame) -> DataFrame:
         seen = Observation()
         table = table.select(*Index.columns(name, index.has_positions))
-        written = table.observe(seen, *_sums(table)).write.option("parquet.block.size", row_group_bytes).option("parquet.writer.version", "v2").option("compression", "zstd")
+        # the hash is made in generated code; an observation's own expressions are interpreted
+        hashed = table.withColumn(HASH, F.xxhash64(*table.columns)).observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(HASH), F.lit(0)).alias("sum")).drop(HASH)
+        written = hashed.write.option("parquet.block.size", row_group_bytes).option("parquet.writer.version", "v2").option("compression", "zstd")
         written.parquet(f"{draft}/{name}")
         sums[name] = (seen.get["n"], seen.get["sum"])
         return spark.read.parquet(f"{draft}/{name}")
 
     put("docs", index.docs)
-    postings = put("postings", index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc"))
+    ordered = index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc") if index.forward is None else placed(index.forward, index.has_positions, index.counted[1])
+    postings = put("postings", ordered)
     # the dictionary of a new index is got from the postings just written
     terms = dictionary(postings, index.counted[0]) if index.forward is not None else index.terms
     terms = put("terms", terms.repartitionByRange("term").sortWithinPartitions("term"))

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 from lexispark.app import Service, main, serve
-from lexispark.operators import Searcher, build_index
+from lexispark.operators import Searcher, build_index, tables
 from lexispark.plans import Or, Term
 from lexispark.sources import IndexFormatError, generated_corpus, generated_word, number_rows, open_index, query_file, save_index, tsv_corpus
 from lexispark.sources.store import verify
@@ -41,6 +41,23 @@ def test_round_trip(spark, stored):
         open_index(spark, str(stored / "nothing"))
 
 
+def test_postings_are_shuffled_packed(spark, tmp_path, monkeypatch):
+    for name, value in {"TOGETHER": 300, "CHUNK": 40, "SAMPLED": 5, "STRIDE": 3, "RANGE": 90, "SMALL": 20}.items():
+        monkeypatch.setattr(tables, name, value)
+    docs = generated_corpus(spark, 200, 60, 1, 30, seed=3).cache()
+    placed = tables.placed(tables.forward(docs, True), True, 3000)
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()  # no second run to sample the rows
+    save_index(build_index(docs, True), str(tmp_path / "ix"))
+    verify(spark, str(tmp_path / "ix"))
+    expected = sorted((t, r.doc, tuple(p for p, x in enumerate(r.tokens) if x == t)) for r in docs.collect() for t in {*r.tokens})
+    postings = open_index(spark, str(tmp_path / "ix")).postings
+    assert sorted((r.term, r.doc, tuple(r.positions)) for r in postings.collect()) == expected
+    assert all(r.tf == len(r.positions) for r in postings.collect())
+    files = [[(r.term, r.doc) for r in spark.read.parquet(str(f)).collect()] for f in (tmp_path / "ix" / "postings").glob("*.parquet")]
+    held = sorted(f for f in files if f)
+    assert len(held) > 4 and sum(held, []) == [e[:2] for e in expected]  # sorted in each file, and file by file
+
+
 def test_damage(spark, stored, tmp_path):
     import shutil
 
