@@ -212,3 +212,8 @@ def test_batches_in_packs(spark, monkeypatch):
             rows = got.collect()
             for q, _ in asked:
                 assert sorted((r["rank"], r.doc, r.score) for r in rows if r.qid == q) == expected[q, mode]
+
+
+def test_heavy_terms_of_large_batches_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(search, "MAX_TERMS", 0)
+    test_heavy_terms_are_salted(spark, monkeypatch)
